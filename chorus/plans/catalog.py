@@ -208,3 +208,139 @@ GROUP BY a.category
 def q09_team_metrics(spark, sf_dir):
     a, m = _tables(spark, sf_dir)
     return an.team_metrics(a, m, days=30, as_of=AS_OF)
+
+
+# ---------------------------------------------------------------- Q10-Q30
+from pyspark.sql import functions as F  # noqa: E402
+
+from chorus.operators import classify as cl  # noqa: E402
+from chorus.operators import ingest as ig  # noqa: E402
+from chorus.operators import payload as pl  # noqa: E402
+from chorus.operators import relevance as rv  # noqa: E402
+from chorus.operators import routing as rt  # noqa: E402
+
+TEAM = "7,,9"
+SERVER = dv.MONITOR_GUILD
+MONITORED = ["SRC1", "src3"]
+INGEST_CUTOFF = "2024-01-15 00:00:00"
+PM_ID = "product-owner"
+RELEVANT_SQL = r"""author_id NOT IN ('7', '9') AND length(content) >= 5 AND NOT author_bot
+  AND regexp_matches(regexp_replace(content, 'https?://\S+', '', 'g'), '\S')"""
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _any_sql(lc: str, words) -> str:
+    return "(" + " OR ".join(f"contains({lc}, {_q(w)})" for w in words) + ")"
+
+
+def _keyword_sql(content: str = "content") -> str:
+    """SQL twin of ``classify.keyword_analysis`` (columns requires_alert,
+    category, severity, summary, recommendation)."""
+    lc = f"lower({content})"
+    cat = "CASE " + " ".join(f"WHEN {_any_sql(lc, w)} THEN {_q(c)}" for c, w in cl.KEYWORDS) + " ELSE 'other' END"
+    sev = "CASE " + " ".join(f"WHEN {_any_sql(lc, w)} THEN {_q(s)}" for s, w in cl.SEVERITY_KEYWORDS) + \
+        f" ELSE {_q(cl.DEFAULT_SEVERITY)} END"
+    label = "CASE c " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in cl.CATEGORY_LABELS.items()) + " END"
+    rec = "CASE c " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in cl.RECOMMENDATIONS.items()) + " END"
+    alert_cats = ", ".join(_q(c) for c in cl.ALERT_CATEGORIES)
+    return f"""(SELECT *, c IN ({alert_cats}) AS requires_alert, c AS category,
+       CASE WHEN c IN ('bug', 'complaint') THEN s END AS severity,
+       {label} || ' (' || CAST(len(regexp_extract_all({content}, '\\S+')) AS VARCHAR) || ' words)' AS summary,
+       {rec} AS recommendation
+FROM (SELECT *, {cat} AS c, {sev} AS s FROM msgs) k0)"""
+
+
+@register("q10_relevant_messages", f"""
+SELECT id, message_id, channel_name, author_id, content FROM raw_msg WHERE {RELEVANT_SQL}
+""")
+def q10_relevant_messages(spark, sf_dir):
+    raw = dv.raw_message_rows(spark, sf_dir)
+    return rv.relevant_messages(raw, team_ids=TEAM).select("id", "message_id", "channel_name", "author_id",
+                                                           "content")
+
+
+@register("q11_ingest_messages", f"""
+, incoming AS (
+  SELECT *, 0 AS arrival FROM raw_msg
+  UNION ALL
+  SELECT id, message_id, channel_id, channel_name, author_id, author_name, upper(content) AS content,
+         timestamp, message_url, author_bot, guild_name, event_type, 1 AS arrival
+  FROM raw_msg WHERE event_type = 'signup'
+), kept AS (
+  SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY arrival) AS rn
+  FROM incoming
+  WHERE NOT author_bot AND guild_name = '{SERVER}'
+    AND (contains(lower(channel_name), 'src1') OR contains(lower(channel_name), 'src3'))
+    AND {RELEVANT_SQL}
+)
+SELECT message_id, channel_id, channel_name, author_id, author_name, content,
+       date_trunc('millisecond', timestamp) AS timestamp, message_url, {T_AS_OF} AS created_at
+FROM kept r
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM msgs t WHERE t.message_id = r.message_id
+                             AND t.timestamp < TIMESTAMP '{INGEST_CUTOFF}')
+""")
+def q11_ingest_messages(spark, sf_dir):
+    raw = dv.raw_message_rows(spark, sf_dir)
+    first = dv.events_from_rows(raw).withColumn("arrival", F.lit(0))
+    # Signup messages are delivered twice; the later copy is edited.
+    again = dv.events_from_rows(raw.filter(F.col("event_type") == "signup")) \
+        .withColumn("content", F.upper("content")).withColumn("arrival", F.lit(1))
+    stored = dv.messages(spark, sf_dir).filter(F.col("timestamp") < F.lit(INGEST_CUTOFF).cast("timestamp"))
+    return ig.ingest_messages(first.unionByName(again), stored, SERVER, MONITORED, TEAM,
+                              as_of=AS_OF, arrival_col="arrival")
+
+
+@register("q12_classify_messages", f"""
+SELECT message_id, requires_alert, category, severity, summary, recommendation, 'ok' AS parse_status
+FROM {_keyword_sql()} k
+""")
+def q12_classify_messages(spark, sf_dir):
+    m = dv.messages(spark, sf_dir).select("message_id", "content")
+    return cl.analyse_messages(m).drop("content")
+
+
+@register("q12_parse_conversation_replies", """
+SELECT conv_id, turn, false AS requires_alert, 'other' AS category, CAST(NULL AS VARCHAR) AS severity,
+       'Analysis inconclusive' AS summary, 'Review manually' AS recommendation,
+       CASE WHEN regexp_matches(text, '[{]') AND regexp_matches(text, '[}]') THEN 'check' ELSE 'no_json' END
+         AS parse_status
+FROM conversations WHERE role = 'assistant'
+""")
+def q12_parse_conversation_replies(spark, sf_dir):
+    from chorus.sources.tables import read_table
+    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return cl.parse_analysis(c.select("conv_id", "turn", F.col("text").alias("response")))
+
+
+@register("q13_store_alerts", f"""
+SELECT message_id, category, severity, summary, recommendation, {T_AS_OF} AS timestamp
+FROM {_keyword_sql()} k WHERE requires_alert
+""")
+def q13_store_alerts(spark, sf_dir):
+    m = dv.messages(spark, sf_dir).select("message_id", "content")
+    return rt.alert_rows(cl.analyse_messages(m), as_of=AS_OF)
+
+
+@register("q13_bug_reports", """
+SELECT id, '[Discord] ' || summary AS subject,
+       'Original Message ID: ' || message_id || chr(10) || 'Recommendation: ' || recommendation AS description,
+       coalesce(nullif(severity, ''), 'medium') AS severity, 'open' AS status,
+       CAST(floor(epoch(timestamp)) AS BIGINT) AS created_at
+FROM alerts_t WHERE category = 'bug'
+""")
+def q13_bug_reports(spark, sf_dir):
+    return rt.bug_report_rows(dv.alerts(spark, sf_dir))
+
+
+@register("q13_feature_suggestions", """
+SELECT id, '[Discord] ' || summary AS title, 'Original Message ID: ' || message_id AS description,
+       recommendation AS "useCase", 'medium' AS priority, 'open' AS status,
+       strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "createdAt",
+       strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "updatedAt"
+FROM alerts_t WHERE category = 'feature_request'
+""")
+def q13_feature_suggestions(spark, sf_dir):
+    return rt.feature_suggestion_rows(dv.alerts(spark, sf_dir))

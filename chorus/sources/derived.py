@@ -104,14 +104,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw message events in the stream shape (``schemas.MESSAGE_EVENTS``)."""
-    r = raw_message_rows(spark, sf_dir)
-    return r.select(
-        F.col("message_id").alias("id"), "channel_id", "channel_name", "author_id", "author_name",
-        "author_bot", "guild_name", "content",
-        F.unix_millis(F.col("timestamp")).alias("created_ms"),
-        F.col("message_url").alias("url"),
-        F.array().cast("array<struct<name:string,url:string,contentType:string>>").alias("attachments"),
-    )
+    return events_from_rows(raw_message_rows(spark, sf_dir))
 
 
 def _own_or_external(text: Column, alert_id: Column) -> Column:
@@ -196,5 +189,36 @@ WITH e0 AS (
     strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "createdAt",
     strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "updatedAt"
   FROM alerts_t WHERE category = 'feature_request'
+), resolutions_t AS (
+  SELECT message_id, 'Reopened for review' AS note, timestamp + INTERVAL 3 DAY AS resolved_at
+  FROM alerts_t WHERE category = 'feature_request'
+  UNION ALL
+  SELECT message_id, 'Shipped in build ' || strftime(timestamp + INTERVAL 7 DAY, '%Y%m%d') AS note,
+         timestamp + INTERVAL 7 DAY AS resolved_at
+  FROM alerts_t WHERE category = 'feature_request'
 )
 """
+
+
+def events_from_rows(rows: DataFrame) -> DataFrame:
+    """Message events (stream shape) from :func:`raw_message_rows` output."""
+    return rows.select(
+        F.col("message_id").alias("id"), "channel_id", "channel_name", "author_id", "author_name",
+        "author_bot", "guild_name", "content",
+        F.unix_millis(F.col("timestamp")).alias("created_ms"),
+        F.col("message_url").alias("url"),
+        F.array().cast("array<struct<name:string,url:string,contentType:string>>").alias("attachments"),
+    )
+
+
+def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolutions of feature requests: a 'reopened' note after three days
+    and the final note after seven (latest wins)."""
+    a = alerts(spark, sf_dir).filter(F.col("category") == "feature_request")
+    first = a.select("message_id", F.lit("Reopened for review").alias("note"),
+                     (F.col("timestamp") + F.expr("INTERVAL 3 DAYS")).alias("resolved_at"))
+    final = a.select("message_id",
+                     F.concat(F.lit("Shipped in build "), F.date_format(
+                         F.col("timestamp") + F.expr("INTERVAL 7 DAYS"), "yyyyMMdd")).alias("note"),
+                     (F.col("timestamp") + F.expr("INTERVAL 7 DAYS")).alias("resolved_at"))
+    return first.unionByName(final)
