@@ -149,7 +149,7 @@ def external_embed_columns(df: DataFrame, kind: str) -> DataFrame:
     return df.select(
         "*",
         alert_color(level).alias("color"),
-        F.lit(f"{emoji} {title}").alias("title"),
+        F.lit(f"{emoji} {title}").alias("heading"),
         js_or(opt("subject"), js_or(opt("title"), "No title")).alias("subject_value"),
         F.substring(js_or(opt("description"), "No description"), 1, FIELD_VALUE_LIMIT).alias("description_value"),
         js_or(F.upper(opt("status")), "OPEN").alias("status_value"),
@@ -168,7 +168,8 @@ def external_embed(df: DataFrame) -> Column:
         _field("Severity/Priority", F.col("level_value"), True),
         F.when(F.col("url_value").isNotNull(), _field("URL", F.col("url_value"), False)),
     )
-    return F.struct(F.col("color"), F.col("title"), F.filter(fields, lambda x: x.isNotNull()).alias("fields"),
+    return F.struct(F.col("color"), F.col("heading").alias("title"),
+                    F.filter(fields, lambda x: x.isNotNull()).alias("fields"),
                     F.col("footer"), F.col("embed_time").alias("timestamp"))
 
 

@@ -344,3 +344,351 @@ FROM alerts_t WHERE category = 'feature_request'
 """)
 def q13_feature_suggestions(spark, sf_dir):
     return rt.feature_suggestion_rows(dv.alerts(spark, sf_dir))
+
+
+from chorus.operators import commands as cm  # noqa: E402
+from chorus.operators import duplicates as du  # noqa: E402
+from chorus.operators import quality as qa  # noqa: E402
+from chorus.streaming import monitor as mo  # noqa: E402
+
+MONITOR_START = "2024-01-15 00:00:00"
+NEW_BUG_SUMMARY = "Is and retitioning ouen the of, nterti thorreou ndernt."
+
+
+def _alerts_with_messages(spark, sf_dir):
+    a, m = _tables(spark, sf_dir)
+    return a.withColumnRenamed("id", "alert_id").join(
+        m.select("message_id", "content", "author_name", "author_id", "channel_name", "message_url"),
+        "message_id")
+
+
+AWM_SQL = """(SELECT a.id AS alert_id, a.message_id, a.category, a.severity, a.summary, a.recommendation,
+        a.timestamp, m.content, m.author_name, m.author_id, m.channel_name, m.message_url
+ FROM alerts_t a JOIN msgs m ON a.message_id = m.message_id)"""
+
+COLOR_SQL = """CASE {s} WHEN 'critical' THEN 16711680 WHEN 'high' THEN 16737792 WHEN 'medium' THEN 16763904
+  WHEN 'low' THEN 52224 ELSE 3447003 END"""
+EMOJI_SQL = """CASE category WHEN 'bug' THEN '🐛' WHEN 'feature_request' THEN '✨' WHEN 'complaint' THEN '⚠️'
+  WHEN 'praise' THEN '👍' WHEN 'documentation' THEN '📚' WHEN 'other' THEN '💬' ELSE '💬' END"""
+
+
+@register("q08_duplicate_bugs", f"""
+, cand AS (
+  SELECT a.id, a.summary,
+         list_distinct(list_filter(regexp_split_to_array(lower(a.summary), '\\W+'), lambda t: t <> '')) AS tk
+  FROM alerts_t a JOIN msgs m ON a.message_id = m.message_id
+  WHERE a.category = 'bug' AND a.timestamp > {T_AS_OF} - INTERVAL 30 DAY
+), q AS (
+  SELECT list_distinct(list_filter(regexp_split_to_array(lower({_q(NEW_BUG_SUMMARY)}), '\\W+'),
+                                   lambda t: t <> '')) AS qk
+), s AS (
+  SELECT id, summary,
+         CAST(len(list_intersect(tk, qk)) AS DOUBLE) / CAST(len(list_distinct(list_concat(tk, qk))) AS DOUBLE)
+           AS score
+  FROM cand, q
+)
+SELECT id, summary, score FROM s WHERE score >= 0.3
+""")
+def q08_duplicate_bugs(spark, sf_dir):
+    a, m = _tables(spark, sf_dir)
+    cand = du.bug_candidates(a, m, days=30, as_of=AS_OF)
+    return du.duplicate_bugs(cand, NEW_BUG_SUMMARY, 0.3).select("id", "summary", "score")
+
+
+@register("q14_route_alerts", f"""
+SELECT 'alert' AS source, alert_id AS source_id, s.seq, CASE WHEN category = 'feature_request'
+         THEN '⚙️║feature-suggestions' ELSE '❗║error-handling' END AS target_channel, s.content
+FROM {AWM_SQL} x,
+  (SELECT 0 AS seq, CAST(NULL AS VARCHAR) AS content UNION ALL SELECT 1, NULL) s
+WHERE s.seq = 0 OR x.category IN ('bug', 'feature_request')
+""")
+def q14_route_alerts(spark, sf_dir):
+    r = pl.route_alerts(_alerts_with_messages(spark, sf_dir))
+    return r.select("source", "source_id", "seq", "target_channel",
+                    F.when(F.col("seq") == 1, F.lit(None).cast("string")).otherwise(F.col("content"))
+                    .alias("content"))
+
+
+@register("q15_alert_payloads", f"""
+SELECT alert_id, {COLOR_SQL.format(s='severity')} AS color,
+  {EMOJI_SQL} || ' ' || upper(replace(category, '_', ' ')) AS title,
+  summary AS summary_value,
+  coalesce(nullif(substr(content, 1, 1024), ''), 'No content') AS message_value,
+  author_name || ' in #' || channel_name AS from_value,
+  coalesce(nullif(upper(severity), ''), 'N/A') AS severity_value,
+  coalesce(nullif(recommendation, ''), 'Review message') AS recommendation_value,
+  'Automated Feedback Analysis' AS footer,
+  CASE WHEN coalesce(message_url, '') <> '' THEN '[Jump to message](' || message_url || ')' END AS link_value
+FROM {AWM_SQL} x
+""")
+def q15_alert_payloads(spark, sf_dir):
+    e = pl.alert_embed_columns(_alerts_with_messages(spark, sf_dir))
+    return e.select("alert_id", "color", "title", "summary_value", "message_value", "from_value",
+                    "severity_value", "recommendation_value", "footer", "link_value")
+
+
+def _monitor_sql(table: str, title: str, kind: str) -> str:
+    start = f"CAST(floor(epoch(TIMESTAMP '{MONITOR_START}')) AS BIGINT)" if kind == "bug" else \
+        f"strftime(TIMESTAMP '{MONITOR_START}', '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+    created = "created_at" if kind == "bug" else '"createdAt"'
+    level = "severity" if kind == "bug" else "priority"
+    target = "❗║error-handling" if kind == "bug" else "⚙️║feature-suggestions"
+    head = "🐛 NEW BUG REPORT" if kind == "bug" else "💡 NEW FEATURE SUGGESTION"
+    return f"""
+, mark AS (SELECT coalesce(max(id), 0) AS mk FROM {table} WHERE {created} < {start})
+SELECT 'monitor' AS source, id AS source_id, 0 AS seq, '{target}' AS target_channel,
+  {COLOR_SQL.format(s=f"nullif({level}, '')")} AS color, '{head}' AS title,
+  coalesce(nullif({title}, ''), 'No title') AS subject_value,
+  substr(coalesce(nullif(description, ''), 'No description'), 1, 1024) AS description_value,
+  coalesce(nullif(upper(status), ''), 'OPEN') AS status_value,
+  upper(coalesce(nullif({level}, ''), 'MEDIUM')) AS level_value
+FROM {table}, mark
+WHERE id > mk AND NOT coalesce(starts_with({title}, '[Discord]'), false)
+"""
+
+
+def _monitor_q(spark, sf_dir, kind):
+    table = dv.bug_reports(spark, sf_dir) if kind == "bug" else dv.feature_suggestions(spark, sf_dir)
+    if kind == "bug":
+        before = F.col("created_at") < F.unix_seconds(F.lit(MONITOR_START).cast("timestamp"))
+    else:
+        before = F.col("createdAt") < F.date_format(F.lit(MONITOR_START).cast("timestamp"),
+                                                     "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    mark = mo.start_mark(table.filter(before))
+    e = pl.external_embed_columns(mo.new_external_entries(table, kind, mark), kind)
+    target = "❗║error-handling" if kind == "bug" else "⚙️║feature-suggestions"
+    return e.select(F.lit("monitor").alias("source"), F.col("id").alias("source_id"), F.lit(0).alias("seq"),
+                    F.lit(target).alias("target_channel"), "color", F.col("heading").alias("title"), "subject_value",
+                    "description_value", "status_value", "level_value")
+
+
+@register("q16_monitor_bug_reports", _monitor_sql("bugs_t", "subject", "bug"))
+def q16_monitor_bug_reports(spark, sf_dir):
+    return _monitor_q(spark, sf_dir, "bug")
+
+
+@register("q16_monitor_feature_suggestions", _monitor_sql("features_t", "title", "feature"))
+def q16_monitor_feature_suggestions(spark, sf_dir):
+    return _monitor_q(spark, sf_dir, "feature")
+
+
+@register("q18_recent_alerts_view", f"""
+SELECT a.id AS alert_id, upper(replace(a.category, '_', ' ')) AS title, a.summary AS description,
+  coalesce(nullif(m.author_name, ''), 'Unknown') AS author, coalesce(nullif(a.severity, ''), 'N/A') AS severity,
+  substr(m.content, 1, 100) || '...' AS message,
+  CASE WHEN a.severity = 'critical' THEN 16711680 ELSE 3447003 END AS color, a.timestamp
+FROM alerts_t a JOIN msgs m ON a.message_id = m.message_id
+WHERE a.timestamp > {T_AS_OF} - INTERVAL 24 HOUR
+ORDER BY a.timestamp DESC, a.id DESC LIMIT 10
+""")
+def q18_recent_alerts_view(spark, sf_dir):
+    a, m = _tables(spark, sf_dir)
+    return cm.recent_alerts_view(a, m, hours=0, as_of=AS_OF)
+
+
+@register("q19_search_view", """
+, res AS (
+  SELECT a.category, a.summary, row_number() OVER (ORDER BY a.timestamp DESC, a.id DESC) AS rn
+  FROM alerts_t a JOIN msgs m ON a.message_id = m.message_id
+  WHERE (m.content ILIKE '%the%' OR a.summary ILIKE '%the%') AND a.category = 'bug'
+  ORDER BY a.timestamp DESC, a.id DESC LIMIT 100
+)
+SELECT 'Search Results (' || CAST(count(*) AS VARCHAR) || ' found)' AS title,
+  CASE WHEN count(*) = 0 THEN 'No results found for your search.' ELSE
+    string_agg(CASE WHEN rn <= 5 THEN CAST(rn AS VARCHAR) || '. **' || category || '** - ' || summary END,
+               chr(10) ORDER BY rn) END AS description,
+  count(*) AS found
+FROM res
+""")
+def q19_search_view(spark, sf_dir):
+    a, m = _tables(spark, sf_dir)
+    return cm.search_view(a, m, "the", category="bug")
+
+
+@register("q20_stats_view", f"""
+, rep AS (
+  SELECT CAST(a.timestamp AS DATE) AS date, a.category, count(*) AS count
+  FROM alerts_t a JOIN msgs m ON a.message_id = m.message_id
+  WHERE a.timestamp > {T_AS_OF} - INTERVAL 1 DAY
+  GROUP BY 1, 2 ORDER BY date DESC, count DESC, category LIMIT 10
+)
+SELECT CASE WHEN count(*) = 0 THEN 'No data available' ELSE
+  string_agg('**' || category || '**: ' || CAST(count AS VARCHAR) || ' alerts', chr(10)
+             ORDER BY date DESC, count DESC, category) END AS description
+FROM rep
+""")
+def q20_stats_view(spark, sf_dir):
+    a, m = _tables(spark, sf_dir)
+    return cm.stats_view(a, m, as_of=AS_OF)
+
+
+@register("q21_critical_bug_notices", f"""
+SELECT alert_id, 'dev-critical-alerts' AS target_channel, '@here CRITICAL BUG REPORTED' AS notice,
+  {EMOJI_SQL} || ' ' || upper(replace(category, '_', ' ')) AS title, {COLOR_SQL.format(s='severity')} AS color
+FROM {AWM_SQL} x WHERE severity = 'critical' AND category = 'bug'
+""")
+def q21_critical_bug_notices(spark, sf_dir):
+    e = pl.alert_embed_columns(pl.critical_bug_notices(_alerts_with_messages(spark, sf_dir)))
+    return e.select("alert_id", "target_channel", "notice", "title", "color")
+
+
+@register("q22_support_tickets", """
+SELECT a.id AS alert_id, a.summary AS title, m.content AS description, a.category, a.severity,
+       m.author_name AS reported_by, m.message_url AS message_link
+FROM alerts_t a JOIN msgs m ON a.message_id = m.message_id WHERE a.category IN ('bug', 'complaint')
+""")
+def q22_support_tickets(spark, sf_dir):
+    a, m = _tables(spark, sf_dir)
+    return rt.support_ticket_rows(a, m)
+
+
+@register("q23_feature_notices", f"""
+SELECT alert_id, '{PM_ID}' AS recipient, 'New feature request: ' || summary AS notice
+FROM {AWM_SQL} x WHERE category = 'feature_request'
+""")
+def q23_feature_notices(spark, sf_dir):
+    return pl.feature_notices(_alerts_with_messages(spark, sf_dir), PM_ID) \
+        .select("alert_id", "recipient", "notice")
+
+
+def _sentiment_sql() -> str:
+    lc = "lower(content)"
+    pos = " + ".join(f"CAST(contains({lc}, {_q(w)}) AS INTEGER)" for w in cl.POSITIVE_WORDS)
+    neg = " + ".join(f"CAST(contains({lc}, {_q(w)}) AS INTEGER)" for w in cl.NEGATIVE_WORDS)
+    return f"round(CAST(({pos}) + 1 AS DOUBLE) / CAST(({pos}) + ({neg}) + 2 AS DOUBLE), 2)"
+
+
+@register("q24_sentiment", f"""
+SELECT message_id, category, requires_alert, {_sentiment_sql()} AS sentiment FROM {_keyword_sql()} k
+""")
+def q24_sentiment(spark, sf_dir):
+    m = dv.messages(spark, sf_dir).select("message_id", "content")
+    return cl.add_sentiment(cl.analyse_messages(m, content_col="content")) \
+        .select("message_id", "category", "requires_alert", "sentiment")
+
+
+@register("q25_resolve_alerts", """
+, latest AS (
+  SELECT message_id, arg_max(note, (resolved_at, note)) AS note, max(resolved_at) AS resolved_at
+  FROM resolutions_t GROUP BY message_id
+)
+SELECT a.id, a.message_id, a.category,
+  CASE WHEN l.message_id IS NOT NULL THEN true END AS resolved,
+  l.note AS resolution_note, l.resolved_at
+FROM alerts_t a LEFT JOIN latest l ON a.message_id = l.message_id
+""")
+def q25_resolve_alerts(spark, sf_dir):
+    a = dv.alerts(spark, sf_dir)
+    return rt.resolve_alerts(a, dv.resolutions(spark, sf_dir)) \
+        .select("id", "message_id", "category", "resolved", "resolution_note", "resolved_at")
+
+
+@register("q25_resolution_notices", """
+, latest AS (
+  SELECT message_id, arg_max(note, (resolved_at, note)) AS note FROM resolutions_t GROUP BY message_id
+)
+SELECT l.message_id, m.author_id AS recipient, '✅ Your feedback has been addressed: ' || l.note AS notice
+FROM latest l JOIN msgs m ON l.message_id = m.message_id
+""")
+def q25_resolution_notices(spark, sf_dir):
+    latest = rt.latest_resolutions(dv.resolutions(spark, sf_dir))
+    m = dv.messages(spark, sf_dir).select("message_id", "author_id")
+    return pl.resolution_notices(latest.join(m, "message_id"))
+
+
+@register("q26_issue_payloads", f"""
+SELECT alert_id, message_id, summary AS title,
+  '```' || chr(10) || 'Original Message: ' || content || chr(10) || 'Reported by: ' || author_name
+  || chr(10) || 'Discord Link: ' || message_url || chr(10) || '```' AS body
+FROM {AWM_SQL} x WHERE severity = 'critical' AND category = 'bug'
+""")
+def q26_issue_payloads(spark, sf_dir):
+    return pl.issue_payloads(_alerts_with_messages(spark, sf_dir)).select("alert_id", "message_id", "title",
+                                                                          "body")
+
+
+def _backlog_sql(hours: int) -> str:
+    return f"""
+SELECT message_id, channel_name, timestamp FROM (
+  SELECT *, row_number() OVER (PARTITION BY channel_name ORDER BY timestamp DESC, message_id DESC) AS rk
+  FROM msgs WHERE timestamp >= {T_AS_OF} - INTERVAL {hours} HOUR
+) b WHERE rk <= 100
+"""
+
+
+@register("q27_backlog_24h", _backlog_sql(24))
+def q27_backlog_24h(spark, sf_dir):
+    return ig.backlog(dv.messages(spark, sf_dir), as_of=AS_OF, hours_back=24) \
+        .select("message_id", "channel_name", "timestamp")
+
+
+@register("q27_backlog_7d", _backlog_sql(168))
+def q27_backlog_7d(spark, sf_dir):
+    return ig.backlog(dv.messages(spark, sf_dir), as_of=AS_OF, hours_back=168) \
+        .select("message_id", "channel_name", "timestamp")
+
+
+@register("q28_template_bug_tracking", """
+SELECT id, category, severity, 'critical-bugs' AS target_channel FROM alerts_t
+WHERE category IN ('bug') AND CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2
+  WHEN 'low' THEN 1 END >= 2
+""")
+def q28_template_bug_tracking(spark, sf_dir):
+    return rt.apply_template(dv.alerts(spark, sf_dir), "BUG_TRACKING") \
+        .select("id", "category", "severity", "target_channel")
+
+
+@register("q28_template_product_feedback", """
+SELECT id, category, severity, CASE category WHEN 'feature_request' THEN 'feature-ideas' WHEN 'praise' THEN 'wins'
+  END AS target_channel FROM alerts_t WHERE category IN ('feature_request', 'praise')
+""")
+def q28_template_product_feedback(spark, sf_dir):
+    return rt.apply_template(dv.alerts(spark, sf_dir), "PRODUCT_FEEDBACK") \
+        .select("id", "category", "severity", "target_channel")
+
+
+@register("q28_template_full_feedback", """
+SELECT id, category, severity, CASE category WHEN 'bug' THEN 'bugs' WHEN 'feature_request' THEN 'feature-requests'
+  WHEN 'complaint' THEN 'complaints' WHEN 'praise' THEN 'praise' WHEN 'documentation' THEN 'docs' END
+  AS target_channel
+FROM alerts_t WHERE category IN ('bug', 'feature_request', 'complaint', 'praise', 'documentation')
+""")
+def q28_template_full_feedback(spark, sf_dir):
+    return rt.apply_template(dv.alerts(spark, sf_dir), "FULL_FEEDBACK") \
+        .select("id", "category", "severity", "target_channel")
+
+
+def _quality_sql() -> str:
+    from chorus.schemas import ALERTS, MESSAGES
+    rows = []
+    for table, schema, src, key in (("messages", MESSAGES, "msgs", "message_id"), ("alerts", ALERTS, "alerts_t", "id")):
+        for f in schema.fields:
+            if not f.nullable:
+                rows.append(f"SELECT '{table}' AS \"table\", 'not_null:{f.name}' AS rule, "
+                            f"count(*) FILTER (WHERE \"{f.name}\" IS NULL) AS violations FROM {src}")
+    cats = ", ".join(_q(c) for c in ["bug", "feature_request", "complaint", "praise", "documentation", "other"])
+    rows += [
+        "SELECT 'messages', 'unique:message_id', count(*) FROM (SELECT message_id FROM msgs GROUP BY message_id "
+        "HAVING count(*) > 1) d",
+        "SELECT 'alerts', 'foreign_key:message_id', count(*) FROM alerts_t a WHERE NOT EXISTS "
+        "(SELECT 1 FROM msgs m WHERE m.message_id = a.message_id)",
+        f"SELECT 'alerts', 'domain:category', count(*) FILTER (WHERE category NOT IN ({cats})) FROM alerts_t",
+        "SELECT 'alerts', 'domain:severity', count(*) FILTER (WHERE severity IS NOT NULL AND severity NOT IN "
+        "('critical', 'high', 'medium', 'low')) FROM alerts_t",
+    ]
+    return "\n" + "\nUNION ALL\n".join(rows) + "\n"
+
+
+@register("q29_constraint_checks", _quality_sql())
+def q29_constraint_checks(spark, sf_dir):
+    a, m = _tables(spark, sf_dir)
+    return qa.validate(m, a)
+
+
+@register("q30_team_member_messages", """
+SELECT message_id, author_id, channel_name FROM raw_msg WHERE author_id IN ('7', '9')
+""")
+def q30_team_member_messages(spark, sf_dir):
+    raw = dv.raw_message_rows(spark, sf_dir)
+    return raw.filter(rv.is_team_member(F.col("author_id"), TEAM)).select("message_id", "author_id",
+                                                                            "channel_name")
