@@ -54,7 +54,15 @@ def raw_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid = F.col("event_id")
     eid_s = eid.cast("string")
     uid_s = F.col("user_id").cast("string")
-    return e.join(d, "doc_key").select(
+    joined = e.join(d, "doc_key")
+    # Each event fans out into a whole document of text. When both scans
+    # are narrower than the cluster (small files), spread the joined rows
+    # so the text work downstream uses every core; on a cluster-sized input
+    # the scans are already wide and no shuffle is added.
+    parallelism = spark.sparkContext.defaultParallelism
+    if max(events.rdd.getNumPartitions(), documents.rdd.getNumPartitions()) < parallelism:
+        joined = joined.repartition(parallelism, "event_id")
+    return joined.select(
         eid.alias("id"),
         eid_s.alias("message_id"),
         F.concat(F.lit("c-"), F.col("source")).alias("channel_id"),
