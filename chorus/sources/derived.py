@@ -54,14 +54,16 @@ def raw_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid = F.col("event_id")
     eid_s = eid.cast("string")
     uid_s = F.col("user_id").cast("string")
-    joined = e.join(d, "doc_key")
     # Each event fans out into a whole document of text. When both scans
-    # are narrower than the cluster (small files), spread the joined rows
-    # so the text work downstream uses every core; on a cluster-sized input
-    # the scans are already wide and no shuffle is added.
+    # are narrower than the cluster (small files), spread both inputs on the
+    # join key first (events are small rows, each document is shuffled once
+    # instead of once per event), so the join and the text work downstream
+    # use every core. Cluster-sized inputs are already wide: no shuffle added.
     parallelism = spark.sparkContext.defaultParallelism
     if max(events.rdd.getNumPartitions(), documents.rdd.getNumPartitions()) < parallelism:
-        joined = joined.repartition(parallelism, "event_id")
+        e = e.repartition(parallelism, "doc_key")
+        d = d.repartition(parallelism, "doc_key")
+    joined = e.join(d, "doc_key")
     return joined.select(
         eid.alias("id"),
         eid_s.alias("message_id"),

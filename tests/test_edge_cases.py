@@ -283,3 +283,16 @@ def test_lookback_rejects_negative(spark):
     from chorus.functions.columns import lookback
     with pytest.raises(ValueError):
         lookback(F.col("timestamp"), AS_OF, hours=-1)
+
+
+def test_links_only_forms_agree(spark):
+    """Anchored form == remove-then-trim form, on random URL/space/text mixes."""
+    import random
+    rnd = random.Random(7)
+    parts = ["https://a.b/c", "http://x", "http://", "https:/", "xhttps://a", " ", "\t", "\n", " ",
+             " ", "word", "h", "ttp://", "https://ahttp://b", ""]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 6))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "content string")
+    out = df.select(rv.links_only(F.col("content")).alias("a"),
+                    rv.links_only_by_removal(F.col("content")).alias("b")).collect()
+    assert all(r.a == r.b for r in out)
