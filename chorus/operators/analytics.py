@@ -24,18 +24,33 @@ from chorus.functions.columns import as_of_col, contains_ci, lookback
 
 ALERT_COLUMNS = ["id", "message_id", "category", "severity", "summary", "recommendation",
                  "timestamp", "created_at"]
+PARTITION_COLUMNS = ["dt", "epoch"]
 
 
 def _alert_cols(alerts: DataFrame) -> list[str]:
     return [c for c in ALERT_COLUMNS if c in alerts.columns] + \
-        [c for c in alerts.columns if c not in ALERT_COLUMNS]
+        [c for c in alerts.columns if c not in ALERT_COLUMNS and c not in PARTITION_COLUMNS]
+
+
+def recent(df: DataFrame, as_of=None, hours: float | None = None, days: int | None = None,
+           boundary: str = "instant", ts_col: str = "timestamp") -> DataFrame:
+    """``ts > as_of - window``; on a table stored with a ``dt`` (UTC date)
+    partition column the implied ``dt >= date(cutoff)`` is added, so whole
+    date folders are pruned before any file is opened."""
+    out = df.filter(lookback(F.col(ts_col), as_of, hours=hours, days=days, boundary=boundary))
+    if "dt" in df.columns:
+        now = as_of_col(as_of)
+        span = (F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(hours) * 3600.0))
+                if hours is not None else F.make_dt_interval(F.lit(int(days))))
+        out = out.filter(F.col("dt") >= F.to_date(now - span))
+    return out
 
 
 def recent_alerts(alerts: DataFrame, messages: DataFrame, hours: float = 24, as_of=None,
                   boundary: str = "instant") -> DataFrame:
     """Q1: alerts newer than ``as_of - hours`` with author, content and URL,
     newest first (ties: id desc). No limit."""
-    a = alerts.filter(lookback(F.col("timestamp"), as_of, hours=hours, boundary=boundary))
+    a = recent(alerts, as_of, hours=hours, boundary=boundary)
     m = messages.select("message_id", "author_name", "content", "message_url")
     return (a.join(m, "message_id")
             .select(*_alert_cols(alerts), "author_name", "content", "message_url")
@@ -50,8 +65,7 @@ def daily_report(alerts: DataFrame, messages: DataFrame, as_of=None,
     The reference reads ``channel_name`` from alerts, which has none; the
     intent is the message's channel, so alerts are joined to messages.
     """
-    a = alerts.filter(lookback(F.col("timestamp"), as_of, days=1, boundary=boundary)) \
-        .select("message_id", "category", "timestamp")
+    a = recent(alerts, as_of, days=1, boundary=boundary).select("message_id", "category", "timestamp")
     m = messages.select("message_id", "channel_name")
     return (a.join(m, "message_id")
             .groupBy(F.to_date("timestamp").alias("date"), F.col("category"))
@@ -64,7 +78,7 @@ def daily_report(alerts: DataFrame, messages: DataFrame, as_of=None,
 def hot_topics(alerts: DataFrame, hours: float = 24, as_of=None, boundary: str = "instant") -> DataFrame:
     """Q3: alert count and mean summary length per (category, severity) over
     the last ``hours``; a NULL severity is its own group."""
-    return (alerts.filter(lookback(F.col("timestamp"), as_of, hours=hours, boundary=boundary))
+    return (recent(alerts, as_of, hours=hours, boundary=boundary)
             .groupBy("category", "severity")
             .agg(F.count(F.lit(1)).alias("count"),
                  F.avg(F.length("summary")).alias("avg_summary_length"))
@@ -132,7 +146,7 @@ def weekly_report_rows(alerts: DataFrame, messages: DataFrame, as_of=None, days:
     severity key reads ``null`` as JavaScript's ``Object.fromEntries`` does.
     The contributor's name is the one on their latest message.
     """
-    a = alerts.filter(lookback(F.col("timestamp"), as_of, days=days))
+    a = recent(alerts, as_of, days=days)
     grouped = (a.groupingSets([[], ["category"], ["severity"]], "category", "severity")
                .agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("gid")))
     # gid: 3 = (), 1 = (category), 2 = (severity)
@@ -145,8 +159,7 @@ def weekly_report_rows(alerts: DataFrame, messages: DataFrame, as_of=None, days:
         F.col("count").cast("long").alias("count"),
         F.lit(None).cast("int").alias("rank"))
     per_msg = alerts.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
-    m = messages.filter(lookback(F.col("timestamp"), as_of, days=days)) \
-        .select("message_id", "author_id", "author_name", "timestamp", "id")
+    m = recent(messages, as_of, days=days).select("message_id", "author_id", "author_name", "timestamp", "id")
     contrib = (m.join(per_msg, "message_id")
                .groupBy("author_id")
                .agg(F.sum("n").cast("long").alias("count"),
@@ -188,7 +201,7 @@ def trending_prefixes(messages: DataFrame, hours: float = 24, as_of=None, prefix
     ``min_frequency`` (the reference's ``> 2``); top ``limit`` by frequency
     (ties keyword asc, then the raw prefix)."""
     prefix = F.substring(F.col("content"), 1, prefix_len)
-    return (messages.filter(lookback(F.col("timestamp"), as_of, hours=hours))
+    return (recent(messages, as_of, hours=hours)
             .groupBy(prefix.alias("prefix"))
             .agg(F.count(F.lit(1)).alias("frequency"))
             .filter(F.col("frequency") >= min_frequency)
@@ -204,7 +217,7 @@ def team_metrics(alerts: DataFrame, messages: DataFrame, days: int = 30, as_of=N
     ``response_within_1hr`` as in the reference) and distinct reporters."""
     now_s = F.unix_seconds(as_of_col(as_of))
     young = (now_s - F.unix_seconds(F.col("timestamp")) < 3600).cast("long")
-    per_msg = (alerts.filter(lookback(F.col("timestamp"), as_of, days=days))
+    per_msg = (recent(alerts, as_of, days=days)
                .groupBy("message_id", "category")
                .agg(F.count(F.lit(1)).alias("n"), F.sum(young).alias("n_young")))
     m = messages.select("message_id", "author_id")

@@ -31,8 +31,27 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+# When set (bench.py's stored mode), messages and alerts are read from
+# tables stored under this folder instead of being derived per query.
+STORE_ROOT: str | None = None
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if STORE_ROOT:
+        from chorus.sources import stored
+        return stored.read_alerts(spark, STORE_ROOT)
+    return dv.alerts(spark, sf_dir)
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if STORE_ROOT:
+        from chorus.sources import stored
+        return stored.read_messages(spark, STORE_ROOT)
+    return dv.messages(spark, sf_dir)
+
+
 def _tables(spark: SparkSession, sf_dir: str):
-    return dv.alerts(spark, sf_dir), dv.messages(spark, sf_dir)
+    return _alerts(spark, sf_dir), _messages(spark, sf_dir)
 
 
 ALERT_SELECT = "a.id, a.message_id, a.category, a.severity, a.summary, a.recommendation, a.timestamp, a.created_at"
@@ -288,7 +307,7 @@ def q11_ingest_messages(spark, sf_dir):
     # Signup messages are delivered twice; the later copy is edited.
     again = dv.events_from_rows(raw.filter(F.col("event_type") == "signup")) \
         .withColumn("content", F.upper("content")).withColumn("arrival", F.lit(1))
-    stored = dv.messages(spark, sf_dir).filter(F.col("timestamp") < F.lit(INGEST_CUTOFF).cast("timestamp"))
+    stored = _messages(spark, sf_dir).filter(F.col("timestamp") < F.lit(INGEST_CUTOFF).cast("timestamp"))
     return ig.ingest_messages(first.unionByName(again), stored, SERVER, MONITORED, TEAM,
                               as_of=AS_OF, arrival_col="arrival")
 
@@ -298,7 +317,7 @@ SELECT message_id, requires_alert, category, severity, summary, recommendation,
 FROM {_keyword_sql()} k
 """)
 def q12_classify_messages(spark, sf_dir):
-    m = dv.messages(spark, sf_dir).select("message_id", "content")
+    m = _messages(spark, sf_dir).select("message_id", "content")
     return cl.analyse_messages(m).drop("content")
 
 
@@ -320,7 +339,7 @@ SELECT message_id, category, severity, summary, recommendation, {T_AS_OF} AS tim
 FROM {_keyword_sql()} k WHERE requires_alert
 """)
 def q13_store_alerts(spark, sf_dir):
-    m = dv.messages(spark, sf_dir).select("message_id", "content")
+    m = _messages(spark, sf_dir).select("message_id", "content")
     return rt.alert_rows(cl.analyse_messages(m), as_of=AS_OF)
 
 
@@ -332,7 +351,7 @@ SELECT id, '[Discord] ' || summary AS subject,
 FROM alerts_t WHERE category = 'bug'
 """)
 def q13_bug_reports(spark, sf_dir):
-    return rt.bug_report_rows(dv.alerts(spark, sf_dir))
+    return rt.bug_report_rows(_alerts(spark, sf_dir))
 
 
 @register("q13_feature_suggestions", """
@@ -343,7 +362,7 @@ SELECT id, '[Discord] ' || summary AS title, 'Original Message ID: ' || message_
 FROM alerts_t WHERE category = 'feature_request'
 """)
 def q13_feature_suggestions(spark, sf_dir):
-    return rt.feature_suggestion_rows(dv.alerts(spark, sf_dir))
+    return rt.feature_suggestion_rows(_alerts(spark, sf_dir))
 
 
 from chorus.operators import commands as cm  # noqa: E402
@@ -562,7 +581,7 @@ def _sentiment_sql() -> str:
 SELECT message_id, category, requires_alert, {_sentiment_sql()} AS sentiment FROM {_keyword_sql()} k
 """)
 def q24_sentiment(spark, sf_dir):
-    m = dv.messages(spark, sf_dir).select("message_id", "content")
+    m = _messages(spark, sf_dir).select("message_id", "content")
     return cl.add_sentiment(cl.analyse_messages(m, content_col="content")) \
         .select("message_id", "category", "requires_alert", "sentiment")
 
@@ -578,7 +597,7 @@ SELECT a.id, a.message_id, a.category,
 FROM alerts_t a LEFT JOIN latest l ON a.message_id = l.message_id
 """)
 def q25_resolve_alerts(spark, sf_dir):
-    a = dv.alerts(spark, sf_dir)
+    a = _alerts(spark, sf_dir)
     return rt.resolve_alerts(a, dv.resolutions(spark, sf_dir)) \
         .select("id", "message_id", "category", "resolved", "resolution_note", "resolved_at")
 
@@ -592,7 +611,7 @@ FROM latest l JOIN msgs m ON l.message_id = m.message_id
 """)
 def q25_resolution_notices(spark, sf_dir):
     latest = rt.latest_resolutions(dv.resolutions(spark, sf_dir))
-    m = dv.messages(spark, sf_dir).select("message_id", "author_id")
+    m = _messages(spark, sf_dir).select("message_id", "author_id")
     return pl.resolution_notices(latest.join(m, "message_id"))
 
 
@@ -618,13 +637,13 @@ SELECT message_id, channel_name, timestamp FROM (
 
 @register("q27_backlog_24h", _backlog_sql(24))
 def q27_backlog_24h(spark, sf_dir):
-    return ig.backlog(dv.messages(spark, sf_dir), as_of=AS_OF, hours_back=24) \
+    return ig.backlog(_messages(spark, sf_dir), as_of=AS_OF, hours_back=24) \
         .select("message_id", "channel_name", "timestamp")
 
 
 @register("q27_backlog_7d", _backlog_sql(168))
 def q27_backlog_7d(spark, sf_dir):
-    return ig.backlog(dv.messages(spark, sf_dir), as_of=AS_OF, hours_back=168) \
+    return ig.backlog(_messages(spark, sf_dir), as_of=AS_OF, hours_back=168) \
         .select("message_id", "channel_name", "timestamp")
 
 
@@ -634,7 +653,7 @@ WHERE category IN ('bug') AND CASE severity WHEN 'critical' THEN 4 WHEN 'high' T
   WHEN 'low' THEN 1 END >= 2
 """)
 def q28_template_bug_tracking(spark, sf_dir):
-    return rt.apply_template(dv.alerts(spark, sf_dir), "BUG_TRACKING") \
+    return rt.apply_template(_alerts(spark, sf_dir), "BUG_TRACKING") \
         .select("id", "category", "severity", "target_channel")
 
 
@@ -643,7 +662,7 @@ SELECT id, category, severity, CASE category WHEN 'feature_request' THEN 'featur
   END AS target_channel FROM alerts_t WHERE category IN ('feature_request', 'praise')
 """)
 def q28_template_product_feedback(spark, sf_dir):
-    return rt.apply_template(dv.alerts(spark, sf_dir), "PRODUCT_FEEDBACK") \
+    return rt.apply_template(_alerts(spark, sf_dir), "PRODUCT_FEEDBACK") \
         .select("id", "category", "severity", "target_channel")
 
 
@@ -654,7 +673,7 @@ SELECT id, category, severity, CASE category WHEN 'bug' THEN 'bugs' WHEN 'featur
 FROM alerts_t WHERE category IN ('bug', 'feature_request', 'complaint', 'praise', 'documentation')
 """)
 def q28_template_full_feedback(spark, sf_dir):
-    return rt.apply_template(dv.alerts(spark, sf_dir), "FULL_FEEDBACK") \
+    return rt.apply_template(_alerts(spark, sf_dir), "FULL_FEEDBACK") \
         .select("id", "category", "severity", "target_channel")
 
 
@@ -692,3 +711,29 @@ def q30_team_member_messages(spark, sf_dir):
     raw = dv.raw_message_rows(spark, sf_dir)
     return raw.filter(rv.is_team_member(F.col("author_id"), TEAM)).select("message_id", "author_id",
                                                                             "channel_name")
+
+
+@register("q17_external_payloads", f"""
+SELECT 'feature' AS kind, id AS source_id, {COLOR_SQL.format(s="nullif(priority, '')")} AS color,
+  '💡 NEW FEATURE SUGGESTION' AS title, coalesce(nullif(title, ''), 'No title') AS subject_value,
+  substr(coalesce(nullif(description, ''), 'No description'), 1, 1024) AS description_value,
+  coalesce(nullif(upper(status), ''), 'OPEN') AS status_value,
+  upper(coalesce(nullif(priority, ''), 'MEDIUM')) AS level_value,
+  CAST(strptime("createdAt", '%Y-%m-%dT%H:%M:%S.%gZ') AS TIMESTAMP) AS embed_time
+FROM features_t
+UNION ALL
+SELECT 'bug', id, {COLOR_SQL.format(s="nullif(severity, '')")}, '🐛 NEW BUG REPORT',
+  coalesce(nullif(subject, ''), 'No title'),
+  substr(coalesce(nullif(description, ''), 'No description'), 1, 1024),
+  coalesce(nullif(upper(status), ''), 'OPEN'), upper(coalesce(nullif(severity, ''), 'MEDIUM')),
+  make_timestamp(created_at * 1000000)
+FROM bugs_t
+""")
+def q17_external_payloads(spark, sf_dir):
+    cols = ["source_id", "color", F.col("heading").alias("title"), "subject_value", "description_value",
+            "status_value", "level_value", "embed_time"]
+    f = pl.external_embed_columns(dv.feature_suggestions(spark, sf_dir), "feature") \
+        .select(F.lit("feature").alias("kind"), F.col("id").alias("source_id"), *cols[1:])
+    b = pl.external_embed_columns(dv.bug_reports(spark, sf_dir), "bug") \
+        .select(F.lit("bug").alias("kind"), F.col("id").alias("source_id"), *cols[1:])
+    return f.unionByName(b)
