@@ -267,7 +267,7 @@ def _keyword_sql(content: str = "content") -> str:
     alert_cats = ", ".join(_q(c) for c in cl.ALERT_CATEGORIES)
     return f"""(SELECT *, c IN ({alert_cats}) AS requires_alert, c AS category,
        CASE WHEN c IN ('bug', 'complaint') THEN s END AS severity,
-       {label} || ' (' || CAST(len(regexp_extract_all({content}, '\\S+')) AS VARCHAR) || ' words)' AS summary,
+       {label} || ' (' || CAST(length({content}) AS VARCHAR) || ' chars)' AS summary,
        {rec} AS recommendation
 FROM (SELECT *, {cat} AS c, {sev} AS s FROM msgs) k0)"""
 
@@ -582,7 +582,7 @@ SELECT message_id, category, requires_alert, {_sentiment_sql()} AS sentiment FRO
 """)
 def q24_sentiment(spark, sf_dir):
     m = _messages(spark, sf_dir).select("message_id", "content")
-    return cl.add_sentiment(cl.analyse_messages(m, content_col="content")) \
+    return cl.analyse_messages(cl.add_sentiment(m)) \
         .select("message_id", "category", "requires_alert", "sentiment")
 
 

@@ -296,3 +296,12 @@ def test_links_only_forms_agree(spark):
     out = df.select(rv.links_only(F.col("content")).alias("a"),
                     rv.links_only_by_removal(F.col("content")).alias("b")).collect()
     assert all(r.a == r.b for r in out)
+
+
+def test_native_sentiment_text_round_trip(spark):
+    """The native scorer's text answer parses back to its score."""
+    df = spark.createDataFrame([("great, thanks!",), ("awful and useless",), ("plain",)], "content string")
+    out = df.select(cl.keyword_sentiment(F.col("content")).alias("s"),
+                    cl.parse_float_js(cl.keyword_sentiment_response(F.col("content"))).alias("p")).collect()
+    assert all(r.s == r.p for r in out)
+    assert [r.s for r in out] == [0.75, 0.25, 0.5]
