@@ -305,3 +305,29 @@ def test_native_sentiment_text_round_trip(spark):
                     cl.parse_float_js(cl.keyword_sentiment_response(F.col("content"))).alias("p")).collect()
     assert all(r.s == r.p for r in out)
     assert [r.s for r in out] == [0.75, 0.25, 0.5]
+
+
+def test_constraint_checks_find_violations(spark):
+    from chorus.operators import quality as qa
+    m = _msg_rows(spark, [dict(message_id="m1"), dict(message_id="m1"), dict(message_id="m2")])
+    a = _alert_rows(spark, [dict(id=1, message_id="m1", category="bogus"), dict(id=2, message_id="zz"),
+                            dict(id=3, message_id="m2", severity="urgent")])
+    got = {(r.table, r.rule): r.violations for r in qa.validate(m, a).collect()}
+    assert got[("messages", "unique:message_id")] == 1
+    assert got[("alerts", "foreign_key:message_id")] == 1
+    assert got[("alerts", "domain:category")] == 1
+    assert got[("alerts", "domain:severity")] == 1
+    assert got[("messages", "not_null:content")] == 0
+    keys = {(r.rule, r.key) for r in qa.violations(m, a).collect()}
+    assert ("foreign_key:message_id", "2") in keys and ("unique:message_id", "m1") in keys
+
+
+def test_utc_day_boundary_reproduces_text_comparison(spark):
+    m = _msg_rows(spark, [dict(timestamp=dt.datetime(2024, 1, 30, 0, 0, 1)),
+                          dict(timestamp=dt.datetime(2024, 1, 29, 23, 59, 59))])
+    a = _alert_rows(spark, [dict(id=1, message_id="m1", timestamp=dt.datetime(2024, 1, 30, 0, 0, 1)),
+                            dict(id=2, message_id="m2", timestamp=dt.datetime(2024, 1, 30, 0, 0, 0))])
+    as_of = "2024-01-31 06:00:00"
+    # instant: strictly newer than 2024-01-30 06:00 → none; utc_day: same UTC date as the cutoff → both
+    assert an.recent_alerts(a, m, 24, as_of=as_of).count() == 0
+    assert an.recent_alerts(a, m, 24, as_of=as_of, boundary="utc_day").count() == 2
