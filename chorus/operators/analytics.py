@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.functions.columns import as_of_col, contains_ci, lookback
+from chorus.operators.joins import DATE_LINK, alert_keys, join_messages, message_dates_since
 
 ALERT_COLUMNS = ["id", "message_id", "category", "severity", "summary", "recommendation",
                  "timestamp", "created_at"]
-PARTITION_COLUMNS = ["dt", "epoch"]
+PARTITION_COLUMNS = ["dt", "epoch", DATE_LINK]
 
 
 def _alert_cols(alerts: DataFrame) -> list[str]:
@@ -51,8 +52,7 @@ def recent_alerts(alerts: DataFrame, messages: DataFrame, hours: float = 24, as_
     """Q1: alerts newer than ``as_of - hours`` with author, content and URL,
     newest first (ties: id desc). No limit."""
     a = recent(alerts, as_of, hours=hours, boundary=boundary)
-    m = messages.select("message_id", "author_name", "content", "message_url")
-    return (a.join(m, "message_id")
+    return (join_messages(a, messages, ["author_name", "content", "message_url"])
             .select(*_alert_cols(alerts), "author_name", "content", "message_url")
             .orderBy(F.col("timestamp").desc(), F.col("id").desc()))
 
@@ -65,9 +65,8 @@ def daily_report(alerts: DataFrame, messages: DataFrame, as_of=None,
     The reference reads ``channel_name`` from alerts, which has none; the
     intent is the message's channel, so alerts are joined to messages.
     """
-    a = recent(alerts, as_of, days=1, boundary=boundary).select("message_id", "category", "timestamp")
-    m = messages.select("message_id", "channel_name")
-    return (a.join(m, "message_id")
+    a = recent(alerts, as_of, days=1, boundary=boundary).select(*alert_keys(alerts), "category", "timestamp")
+    return (join_messages(a, messages, ["channel_name"])
             .groupBy(F.to_date("timestamp").alias("date"), F.col("category"))
             .agg(F.count(F.lit(1)).alias("count"),
                  F.expr("listagg(DISTINCT channel_name, ',') WITHIN GROUP (ORDER BY channel_name)")
@@ -125,10 +124,10 @@ def search_alerts(alerts: DataFrame, messages: DataFrame, query: str | None = No
         a = a.filter(F.col("timestamp") >= F.to_timestamp(F.lit(str(start_date))))
     if end_date:
         a = a.filter(F.col("timestamp") <= F.to_timestamp(F.lit(str(end_date))))
-    m = messages.select("message_id", "author_name", "content", "channel_name")
+    m = messages
     if channel:
         m = m.filter(F.col("channel_name") == channel)
-    j = a.join(m, "message_id")
+    j = join_messages(a, m, ["author_name", "content", "channel_name"])
     if query:
         j = j.filter(contains_ci(F.col("content"), query) | contains_ci(F.col("summary"), query))
     out = (j.select(*_alert_cols(alerts), "author_name", "content", "channel_name")
@@ -158,9 +157,11 @@ def weekly_report_rows(alerts: DataFrame, messages: DataFrame, as_of=None, days:
         F.lit(None).cast("string").alias("author_name"),
         F.col("count").cast("long").alias("count"),
         F.lit(None).cast("int").alias("rank"))
-    per_msg = alerts.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
-    m = recent(messages, as_of, days=days).select("message_id", "author_id", "author_name", "timestamp", "id")
-    contrib = (m.join(per_msg, "message_id")
+    since = as_of_col(as_of) - F.make_dt_interval(F.lit(int(days)))
+    per_msg = message_dates_since(alerts, since).groupBy(*alert_keys(alerts)) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    m = recent(messages, as_of, days=days)
+    contrib = (join_messages(per_msg, m, ["author_id", "author_name", "timestamp", "id"])
                .groupBy("author_id")
                .agg(F.sum("n").cast("long").alias("count"),
                     F.max_by("author_name", F.struct("timestamp", "id")).alias("author_name")))
@@ -218,10 +219,9 @@ def team_metrics(alerts: DataFrame, messages: DataFrame, days: int = 30, as_of=N
     now_s = F.unix_seconds(as_of_col(as_of))
     young = (now_s - F.unix_seconds(F.col("timestamp")) < 3600).cast("long")
     per_msg = (recent(alerts, as_of, days=days)
-               .groupBy("message_id", "category")
+               .groupBy(*alert_keys(alerts), "category")
                .agg(F.count(F.lit(1)).alias("n"), F.sum(young).alias("n_young")))
-    m = messages.select("message_id", "author_id")
-    return (per_msg.join(m, "message_id")
+    return (join_messages(per_msg, messages, ["author_id"])
             .groupBy("category")
             .agg(F.sum("n").cast("long").alias("alerts_created"),
                  (F.sum("n_young").cast("double") / F.sum("n").cast("double")).alias("response_within_1hr"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus.functions.columns import lookback
+from chorus.operators.joins import join_messages
 
 
 def tokens(text: Column) -> Column:
@@ -28,7 +29,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def bug_candidates(alerts: DataFrame, messages: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     """Bug alerts of the last ``days`` joined to their message content."""
     a = alerts.filter((F.col("category") == "bug") & lookback(F.col("timestamp"), as_of, days=days))
-    return a.join(messages.select("message_id", "content"), "message_id")
+    return join_messages(a, messages, ["content"])
 
 
 def duplicate_bugs(candidates: DataFrame, new_summary: str, threshold: float = 0.5) -> DataFrame:

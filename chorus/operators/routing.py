@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.functions.columns import as_of_col, blank_to_null, iso_text
+from chorus.operators.joins import alert_keys, join_messages
 from chorus.schemas import CONFIG_TEMPLATES, OWN_ENTRY_PREFIX, SEVERITY_RANK
 
 ALERT_ROW_COLUMNS = ["message_id", "category", "severity", "summary", "recommendation", "timestamp"]
@@ -25,11 +26,14 @@ def alert_rows(analysed: DataFrame, as_of=None) -> DataFrame:
     """
     ok = (F.col("requires_alert") & (F.col("parse_status") == "ok")
           & F.col("category").isNotNull() & F.col("summary").isNotNull())
+    # A stored message's date partition travels with its alert (joins.DATE_LINK).
+    link = [F.col("dt").alias("message_dt")] if "dt" in analysed.columns else []
     return analysed.filter(ok).select(
         "message_id", "category",
         blank_to_null(F.col("severity")).alias("severity"),
         "summary", "recommendation",
         as_of_col(as_of).alias("timestamp"),
+        *link,
     )
 
 
@@ -76,9 +80,8 @@ def support_ticket_rows(alerts: DataFrame, messages: DataFrame) -> DataFrame:
     """Q22: bug and complaint alerts become support tickets holding the
     original message."""
     a = alerts.filter(F.col("category").isin("bug", "complaint")) \
-        .select(F.col("id").alias("alert_id"), "message_id", "summary", "category", "severity")
-    m = messages.select("message_id", "content", "author_name", "message_url")
-    return a.join(m, "message_id").select(
+        .select(F.col("id").alias("alert_id"), *alert_keys(alerts), "summary", "category", "severity")
+    return join_messages(a, messages, ["content", "author_name", "message_url"]).select(
         "alert_id",
         F.col("summary").alias("title"),
         F.col("content").alias("description"),

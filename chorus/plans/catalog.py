@@ -375,10 +375,10 @@ NEW_BUG_SUMMARY = "Is and retitioning ouen the of, nterti thorreou ndernt."
 
 
 def _alerts_with_messages(spark, sf_dir):
+    from chorus.operators.joins import join_messages
     a, m = _tables(spark, sf_dir)
-    return a.withColumnRenamed("id", "alert_id").join(
-        m.select("message_id", "content", "author_name", "author_id", "channel_name", "message_url"),
-        "message_id")
+    return join_messages(a.withColumnRenamed("id", "alert_id"), m,
+                         ["content", "author_name", "author_id", "channel_name", "message_url"])
 
 
 AWM_SQL = """(SELECT a.id AS alert_id, a.message_id, a.category, a.severity, a.summary, a.recommendation,

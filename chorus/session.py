@@ -25,6 +25,12 @@ def configure(spark: SparkSession) -> SparkSession:
         ("spark.sql.adaptive.enabled", "true"),
         ("spark.sql.adaptive.coalescePartitions.enabled", "true"),
         ("spark.sql.adaptive.skewJoin.enabled", "true"),
+        # Look-back reports join recent alerts to the date-partitioned
+        # messages table on (message_id, date). Let dynamic partition pruning
+        # run even when the alert side is too big to broadcast: evaluating
+        # the filtered alerts once more is far cheaper than scanning every
+        # date of message text.
+        ("spark.sql.optimizer.dynamicPartitionPruning.reuseBroadcastOnly", "false"),
     ):
         if conf.get(key, None) != value:
             conf.set(key, value)

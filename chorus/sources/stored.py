@@ -17,7 +17,11 @@ from chorus.sources import derived as dv
 def write_feedback_tables(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
     """Derive messages / alerts from the given tables and store them."""
     out = {}
-    for name, df in (("messages", dv.messages(spark, sf_dir)), ("alerts", dv.alerts(spark, sf_dir))):
+    msgs = dv.messages(spark, sf_dir)
+    # Alerts also keep their message's date (joins.DATE_LINK) for pruning.
+    alerts = dv.alerts(spark, sf_dir).join(
+        msgs.select("message_id", F.to_date("timestamp").alias("message_dt")), "message_id")
+    for name, df in (("messages", msgs), ("alerts", alerts)):
         path = os.path.join(root, name)
         (df.withColumn("dt", F.to_date("timestamp"))
          .repartition("dt").sortWithinPartitions("timestamp")
@@ -35,4 +39,5 @@ def read_messages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_alerts(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(_with_dt(ALERTS)).parquet(os.path.join(root, "alerts"))
+    schema = T.StructType(ALERTS.fields + [T.StructField("message_dt", T.DateType())])
+    return spark.read.schema(_with_dt(schema)).parquet(os.path.join(root, "alerts"))
