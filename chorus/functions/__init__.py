@@ -6,6 +6,7 @@ from chorus.functions.columns import (  # noqa: F401
     has_visible_text,
     iso_text,
     js_or,
+    log_preview,
     lookback,
     map_lookup,
     upper_words,

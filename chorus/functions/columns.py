@@ -93,3 +93,9 @@ def map_lookup(mapping: dict, key: Column, default=None) -> Column:
 def upper_words(category: Column) -> Column:
     """``category.replace(/_/g, ' ').toUpperCase()``."""
     return F.upper(F.replace(category, F.lit("_"), F.lit(" ")))
+
+
+def log_preview(content: Column, n: int = 100) -> Column:
+    """First ``n`` characters, with '...' only when the text is longer (the
+    ingest log line; the recent-alerts view always appends '...')."""
+    return F.when(F.length(content) > n, F.concat(F.substring(content, 1, n), F.lit("..."))).otherwise(content)

@@ -331,3 +331,10 @@ def test_utc_day_boundary_reproduces_text_comparison(spark):
     # instant: strictly newer than 2024-01-30 06:00 → none; utc_day: same UTC date as the cutoff → both
     assert an.recent_alerts(a, m, 24, as_of=as_of).count() == 0
     assert an.recent_alerts(a, m, 24, as_of=as_of, boundary="utc_day").count() == 2
+
+
+def test_log_preview(spark):
+    from chorus.functions.columns import log_preview
+    df = spark.createDataFrame([("hi",), ("x" * 101,), ("y" * 100,)], "c string")
+    got = [r.p for r in df.select(log_preview(F.col("c")).alias("p")).collect()]
+    assert got == ["hi", "x" * 100 + "...", "y" * 100]
