@@ -28,6 +28,7 @@ from chorus.schemas import (
     FEATURE_CHANNEL_NAME,
     FEATURE_CONFIRMATION,
     FEATURE_NOTICE_PREFIX,
+    ISSUE_BODY_FORMAT,
     ISSUE_LABELS,
     MONITOR_FOOTER,
     RESOLVED_NOTICE_PREFIX,
@@ -210,9 +211,7 @@ def resolution_notices(resolved: DataFrame) -> DataFrame:
 def issue_payloads(df: DataFrame) -> DataFrame:
     """Q26: critical bugs → an issue document (JSON text) with a fenced
     body quoting the message, reporter and link."""
-    body = F.concat(F.lit("```\nOriginal Message: "), F.col("content"),
-                    F.lit("\nReported by: "), F.col("author_name"),
-                    F.lit("\nDiscord Link: "), F.col("message_url"), F.lit("\n```"))
+    body = F.format_string(ISSUE_BODY_FORMAT, F.col("content"), F.col("author_name"), F.col("message_url"))
     crit = df.filter((F.col("severity") == "critical") & (F.col("category") == "bug"))
     return crit.select(
         *[c for c in ("alert_id", "message_id") if c in df.columns],

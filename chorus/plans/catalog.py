@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chorus.operators import analytics as an
+from chorus.schemas import OWN_ENTRY_PREFIX
 from chorus.sources import derived as dv
 
 AS_OF = dv.AS_OF
@@ -343,8 +344,8 @@ def q13_store_alerts(spark, sf_dir):
     return rt.alert_rows(cl.analyse_messages(m), as_of=AS_OF)
 
 
-@register("q13_bug_reports", """
-SELECT id, '[Discord] ' || summary AS subject,
+@register("q13_bug_reports", f"""
+SELECT id, '{OWN_ENTRY_PREFIX} ' || summary AS subject,
        'Original Message ID: ' || message_id || chr(10) || 'Recommendation: ' || recommendation AS description,
        coalesce(nullif(severity, ''), 'medium') AS severity, 'open' AS status,
        CAST(floor(epoch(timestamp)) AS BIGINT) AS created_at
@@ -354,8 +355,8 @@ def q13_bug_reports(spark, sf_dir):
     return rt.bug_report_rows(_alerts(spark, sf_dir))
 
 
-@register("q13_feature_suggestions", """
-SELECT id, '[Discord] ' || summary AS title, 'Original Message ID: ' || message_id AS description,
+@register("q13_feature_suggestions", f"""
+SELECT id, '{OWN_ENTRY_PREFIX} ' || summary AS title, 'Original Message ID: ' || message_id AS description,
        recommendation AS "useCase", 'medium' AS priority, 'open' AS status,
        strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "createdAt",
        strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS "updatedAt"
@@ -371,6 +372,7 @@ from chorus.operators import quality as qa  # noqa: E402
 from chorus.streaming import monitor as mo  # noqa: E402
 
 MONITOR_START = "2024-01-15 00:00:00"
+from chorus.schemas import ISSUE_BODY_FORMAT  # noqa: E402
 NEW_BUG_SUMMARY = "Is and retitioning ouen the of, nterti thorreou ndernt."
 
 
@@ -462,7 +464,7 @@ SELECT 'monitor' AS source, id AS source_id, 0 AS seq, '{target}' AS target_chan
   coalesce(nullif(upper(status), ''), 'OPEN') AS status_value,
   upper(coalesce(nullif({level}, ''), 'MEDIUM')) AS level_value
 FROM {table}, mark
-WHERE id > mk AND NOT coalesce(starts_with({title}, '[Discord]'), false)
+WHERE id > mk AND NOT coalesce(starts_with({title}, '{OWN_ENTRY_PREFIX}'), false)
 """
 
 
@@ -617,8 +619,7 @@ def q25_resolution_notices(spark, sf_dir):
 
 @register("q26_issue_payloads", f"""
 SELECT alert_id, message_id, summary AS title,
-  '```' || chr(10) || 'Original Message: ' || content || chr(10) || 'Reported by: ' || author_name
-  || chr(10) || 'Discord Link: ' || message_url || chr(10) || '```' AS body
+  printf({_q(ISSUE_BODY_FORMAT)}, content, author_name, message_url) AS body
 FROM {AWM_SQL} x WHERE severity = 'critical' AND category = 'bug'
 """)
 def q26_issue_payloads(spark, sf_dir):

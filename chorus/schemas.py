@@ -33,8 +33,6 @@ DEFAULT_EMOJI = "💬"
 ALERT_CHANNEL_NAME = "❗║error-handling"
 FEATURE_CHANNEL_NAME = "⚙️║feature-suggestions"
 CRITICAL_CHANNEL_NAME = "dev-critical-alerts"
-SERVER_NAME = "ClientAcquisition.io"
-MONITORED_CHANNELS = ["truth-engine", "cookai-test-kitchen"]
 OWN_ENTRY_PREFIX = "[Discord]"
 ALERT_FOOTER = "Automated Feedback Analysis"
 MONITOR_FOOTER = "Database Monitor"
@@ -44,6 +42,7 @@ CRITICAL_BUG_TEXT = "@here CRITICAL BUG REPORTED"
 FEATURE_NOTICE_PREFIX = "New feature request: "
 RESOLVED_NOTICE_PREFIX = "✅ Your feedback has been addressed: "
 ISSUE_LABELS = ["bug", "discord-feedback"]
+ISSUE_BODY_FORMAT = "```\nOriginal Message: %s\nReported by: %s\nDiscord Link: %s\n```"
 # Fallback analysis when a model response holds no JSON object.
 FALLBACK_CATEGORY = "other"
 FALLBACK_SUMMARY = "Analysis inconclusive"

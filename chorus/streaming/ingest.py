@@ -28,9 +28,8 @@ def event_stream(spark: SparkSession, source: str, fmt: str = "json",
 
 
 def start_ingest(spark: SparkSession, events: DataFrame, root: str, checkpoint: str,
-                 cfg: FlowConfig | None = None, trigger: str | None = "10 seconds",
+                 cfg: FlowConfig, trigger: str | None = "10 seconds",
                  available_now: bool = False) -> StreamingQuery:
-    cfg = cfg or FlowConfig()
     paths = TablePaths(root)
 
     def run(batch: DataFrame, epoch_id: int) -> None:

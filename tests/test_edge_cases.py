@@ -42,7 +42,7 @@ def _alert_rows(spark, rows):
 def _events(spark, rows):
     full = []
     for i, r in enumerate(rows):
-        base = dict(id=f"e{i}", channel_id="c", channel_name="truth-engine", author_id="u1",
+        base = dict(id=f"e{i}", channel_id="c", channel_name="feedback-lab", author_id="u1",
                     author_name="ann", author_bot=False, guild_name="G", content="a real message",
                     created_ms=1706616000000, url="https://x", attachments=[])
         base.update(r)
@@ -67,14 +67,14 @@ def test_id_list_parsing():
 
 def test_event_acceptance_guild_and_channel(spark):
     ev = _events(spark, [
-        dict(channel_name="X-Truth-Engine-2"),
+        dict(channel_name="X-Feedback-Lab-2"),
         dict(guild_name=None),
         dict(guild_name="g"),
         dict(channel_name="random"),
         dict(author_bot=True),
     ])
-    kept = rv.accept_event(ev, "G", ["truth-engine"]).collect()
-    assert [r.channel_name for r in kept] == ["X-Truth-Engine-2"]
+    kept = rv.accept_event(ev, "G", ["feedback-lab"]).collect()
+    assert [r.channel_name for r in kept] == ["X-Feedback-Lab-2"]
 
 
 def test_first_write_wins_and_insert_if_absent(spark):
@@ -82,7 +82,7 @@ def test_first_write_wins_and_insert_if_absent(spark):
                          dict(id="b", content="other message")])
     ev = ev.withColumn("arrival", F.monotonically_increasing_id())
     target = _msg_rows(spark, [dict(message_id="b")])
-    out = ig.ingest_messages(ev, target, "G", ["truth-engine"], as_of=AS_OF, arrival_col="arrival").collect()
+    out = ig.ingest_messages(ev, target, "G", ["feedback-lab"], as_of=AS_OF, arrival_col="arrival").collect()
     assert [(r.message_id, r.content) for r in out] == [("a", "first copy")]
 
 
