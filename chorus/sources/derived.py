@@ -39,6 +39,17 @@ def _severity(event_type: Column, alert_id: Column) -> Column:
     return F.when(event_type.isin("error", "view"), sev)
 
 
+def _narrow_inputs(spark: SparkSession, *dfs: DataFrame) -> int:
+    """The cluster's parallelism when every input scan is narrower than it,
+    else 0. Needs the classic API (partition counts); 0 where unavailable."""
+    try:
+        parallelism = spark.sparkContext.defaultParallelism
+        widest = max(df.rdd.getNumPartitions() for df in dfs)
+    except Exception:  # e.g. a Spark Connect session
+        return 0
+    return parallelism if widest < parallelism else 0
+
+
 def raw_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chat message per event, with the event-only fields kept
     (author_bot, guild_name, event_type) for the ingest filters."""
@@ -59,10 +70,10 @@ def raw_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     # join key first (events are small rows, each document is shuffled once
     # instead of once per event), so the join and the text work downstream
     # use every core. Cluster-sized inputs are already wide: no shuffle added.
-    parallelism = spark.sparkContext.defaultParallelism
-    if max(events.rdd.getNumPartitions(), documents.rdd.getNumPartitions()) < parallelism:
-        e = e.repartition(parallelism, "doc_key")
-        d = d.repartition(parallelism, "doc_key")
+    narrow = _narrow_inputs(spark, events, documents)
+    if narrow:
+        e = e.repartition(narrow, "doc_key")
+        d = d.repartition(narrow, "doc_key")
     joined = e.join(d, "doc_key")
     return joined.select(
         eid.alias("id"),
