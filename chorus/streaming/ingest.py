@@ -12,6 +12,7 @@ at-least-once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chorus.plans.feedback_flow import FlowConfig, TablePaths, run_feedback_batch
@@ -27,6 +28,25 @@ def event_stream(spark: SparkSession, source: str, fmt: str = "json",
     return reader.load(source)
 
 
+def kafka_event_stream(spark: SparkSession, bootstrap_servers: str, topic: str,
+                       starting_offsets: str = "latest", max_offsets_per_trigger: int | None = None) -> DataFrame:
+    """Message events from a Kafka topic whose values are event JSON
+    (``MESSAGE_EVENTS``). Needs the Spark Kafka connector on the classpath;
+    the Kafka offset of each record is kept as ``arrival`` for first-write-wins."""
+    reader = (spark.readStream.format("kafka")
+              .option("kafka.bootstrap.servers", bootstrap_servers)
+              .option("subscribe", topic)
+              .option("startingOffsets", starting_offsets))
+    if max_offsets_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+    try:
+        raw = reader.load()
+    except Exception as exc:  # connector missing
+        raise RuntimeError("the Kafka source needs the spark-sql-kafka connector package") from exc
+    ev = F.from_json(F.col("value").cast("string"), MESSAGE_EVENTS)
+    return raw.select(ev.alias("e"), F.col("offset").alias("arrival")).select("e.*", "arrival")
+
+
 def start_ingest(spark: SparkSession, events: DataFrame, root: str, checkpoint: str,
                  cfg: FlowConfig, trigger: str | None = "10 seconds",
                  available_now: bool = False) -> StreamingQuery:
