@@ -3,9 +3,10 @@
 ``events`` gives ids, authors, times and an event type; ``documents`` gives
 message text (whole documents, never prefixes) and the channel (``source``).
 The rules are those of FIXTURES.md §2, except that ``content`` is the whole
-document and the document count is a scalar subquery instead of a cross
-join. Everything here is lazy: the derived tables grow with the inputs and
-the operators' filters and projections are pushed through them.
+document and the document count is read once per version of the documents
+table instead of being cross-joined. Everything else is lazy: the derived
+tables grow with the inputs and the operators' filters and projections are
+pushed through them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chorus.functions.columns import iso_text
 from chorus.schemas import OWN_ENTRY_PREFIX
-from chorus.sources.tables import read_table
+from chorus.sources.tables import read_table, table_path
 
 # Fixed values of the derivation (FIXTURES.md §2).
 AS_OF = "2024-01-31 00:00:00"
@@ -50,31 +51,80 @@ def _narrow_inputs(spark: SparkSession, *dfs: DataFrame) -> int:
     return parallelism if widest < parallelism else 0
 
 
+# Document counts by (path, modification time, length) of the documents
+# table: the count is a property of one version of an immutable input, so it
+# is read once (a metadata-only count) instead of once per query.
+_DOC_COUNTS: dict[tuple[str, int, int], int] = {}
+
+
+def _file_version(spark: SparkSession, path: str) -> tuple[str, int, int] | None:
+    """(qualified path, modification time, length) from the cluster's file
+    system, or None where the JVM file system is not reachable."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        st = fs.getFileStatus(p)
+        return (str(fs.makeQualified(p).toString()), int(st.getModificationTime()), int(st.getLen()))
+    except Exception:  # e.g. a Spark Connect session
+        return None
+
+
+def _document_count(spark: SparkSession, sf_dir: str, documents: DataFrame) -> Column:
+    """``count(*)`` of the documents table as a literal when its file version
+    is known (counted once per version), else as a lazy scalar subquery."""
+    version = _file_version(spark, table_path(sf_dir, "documents"))
+    if version is None:
+        return documents.select(F.count(F.lit(1))).scalar()
+    if version not in _DOC_COUNTS:
+        _DOC_COUNTS[version] = documents.count()
+    return F.lit(_DOC_COUNTS[version])
+
+
+def _event_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
+    """The two scans and the document key of each event (``event_id % n``,
+    ``n`` = document count)."""
+    events = read_table(spark, sf_dir, "events")
+    documents = read_table(spark, sf_dir, "documents")
+    return events, documents, (F.col("event_id") % _document_count(spark, sf_dir, documents))
+
+
+def _join_documents(spark: SparkSession, events: DataFrame, documents: DataFrame,
+                    e: DataFrame, d: DataFrame) -> DataFrame:
+    """``e`` ⋈ ``d`` on ``doc_key``. Each event fans out into a document's
+    text; when both scans are narrower than the cluster (small files), both
+    inputs are first spread on the join key so the join and the text work
+    downstream use every core. Cluster-sized inputs are already wide: no
+    shuffle is added."""
+    narrow = _narrow_inputs(spark, events, documents)
+    if narrow:
+        e = e.repartition(narrow, "doc_key")
+        d = d.repartition(narrow, "doc_key")
+    return e.join(d, "doc_key")
+
+
+def _content(eid: Column, text: Column) -> Column:
+    """Message text: a URL-only or a too-short text for two ids in fifty,
+    else the document (FIXTURES.md §2)."""
+    return (F.when(eid % 50 == 7, F.concat(F.lit(URL_BASE_P), eid.cast("string")))
+            .when(eid % 50 == 8, F.lit("ok"))
+            .otherwise(text))
+
+
 def raw_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chat message per event, with the event-only fields kept
     (author_bot, guild_name, event_type) for the ingest filters."""
-    events = read_table(spark, sf_dir, "events")
-    documents = read_table(spark, sf_dir, "documents")
-    n_docs = documents.select(F.count(F.lit(1))).scalar()
+    events, documents, doc_key = _event_columns(spark, sf_dir)
     e = events.select(
         F.col("event_id"), F.col("user_id"), F.col("event_type"),
         F.col("ts").cast("timestamp").alias("timestamp"),
-        (F.col("event_id") % n_docs).alias("doc_key"),
+        doc_key.alias("doc_key"),
     )
     d = documents.select(F.col("doc_id").alias("doc_key"), F.col("text"), F.col("source"))
     eid = F.col("event_id")
     eid_s = eid.cast("string")
     uid_s = F.col("user_id").cast("string")
-    # Each event fans out into a whole document of text. When both scans
-    # are narrower than the cluster (small files), spread both inputs on the
-    # join key first (events are small rows, each document is shuffled once
-    # instead of once per event), so the join and the text work downstream
-    # use every core. Cluster-sized inputs are already wide: no shuffle added.
-    narrow = _narrow_inputs(spark, events, documents)
-    if narrow:
-        e = e.repartition(narrow, "doc_key")
-        d = d.repartition(narrow, "doc_key")
-    joined = e.join(d, "doc_key")
+    joined = _join_documents(spark, events, documents, e, d)
     return joined.select(
         eid.alias("id"),
         eid_s.alias("message_id"),
@@ -82,9 +132,7 @@ def raw_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("channel_name"),
         uid_s.alias("author_id"),
         F.concat(F.lit("user_"), uid_s, F.when(eid % 2 == 0, F.lit("")).otherwise(F.lit("_v2"))).alias("author_name"),
-        F.when(eid % 50 == 7, F.concat(F.lit(URL_BASE_P), eid_s))
-         .when(eid % 50 == 8, F.lit("ok"))
-         .otherwise(F.col("text")).alias("content"),
+        _content(eid, F.col("text")).alias("content"),
         F.col("timestamp"),
         F.concat(F.lit(URL_BASE_M), eid_s).alias("message_url"),
         (eid % 97 == 0).alias("author_bot"),
@@ -100,31 +148,47 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "content", "timestamp", "message_url", F.col("timestamp").alias("created_at"))
 
 
+SUMMARY_CHARS = 80
+
+
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored ``alerts`` table: one alert per non-click message, and a
-    second one for every tenth (join fan-out). One pass over the derived
-    messages: the optional second alert comes from ``explode``, so the text
-    join runs once (a UNION of two branches would run it twice)."""
-    r = raw_message_rows(spark, sf_dir).filter(F.col("event_type") != "click")
-    first = F.struct(
-        F.col("id").alias("id"),
+    second one for every tenth (join fan-out).
+
+    The alert rows are built from ``events`` alone (UNION ALL of the two
+    kinds), then joined once to the documents for the summary. A filter on
+    the alerts (a look-back on ``timestamp``, a category) is pushed through
+    the union into the event scan, so only the matching events reach the
+    join; and the summary only needs the first 80 characters of a
+    document, which are cut before the shuffle instead of after the join.
+    """
+    events, documents, doc_key = _event_columns(spark, sf_dir)
+    eid = F.col("event_id")
+    ts = F.col("ts").cast("timestamp")
+    ev = events.filter(F.col("event_type") != "click")
+    first = ev.select(
+        eid.alias("id"), eid,
         _category(F.col("event_type")).alias("category"),
-        _severity(F.col("event_type"), F.col("id")).alias("severity"),
+        _severity(F.col("event_type"), eid).alias("severity"),
         F.concat(F.lit("Review "), F.col("event_type")).alias("recommendation"),
-        F.col("timestamp").alias("timestamp"),
+        ts.alias("timestamp"),
+        doc_key.alias("doc_key"),
     )
-    second = F.struct(
-        (F.col("id") + SECOND_ALERT_OFFSET).alias("id"),
+    second = ev.filter(eid % 10 == 0).select(
+        (eid + SECOND_ALERT_OFFSET).alias("id"), eid,
         F.lit("complaint").alias("category"),
         F.lit("high").alias("severity"),
         F.lit("Second look").alias("recommendation"),
-        (F.col("timestamp") + F.expr("INTERVAL 1 MINUTE")).alias("timestamp"),
+        (ts + F.expr("INTERVAL 1 MINUTE")).alias("timestamp"),
+        doc_key.alias("doc_key"),
     )
-    both = F.when(F.col("id") % 10 == 0, F.array(first, second)).otherwise(F.array(first))
-    out = r.select("message_id", F.substring(F.col("content"), 1, 80).alias("summary"),
-                   F.explode(both).alias("a"))
-    return out.select("a.id", "message_id", "a.category", "a.severity", "summary", "a.recommendation",
-                      "a.timestamp", F.col("a.timestamp").alias("created_at"))
+    d = documents.select(F.col("doc_id").alias("doc_key"),
+                         F.substring(F.col("text"), 1, SUMMARY_CHARS).alias("head"))
+    joined = _join_documents(spark, events, documents, first.unionByName(second), d)
+    return joined.select(
+        "id", eid.cast("string").alias("message_id"), "category", "severity",
+        F.substring(_content(eid, F.col("head")), 1, SUMMARY_CHARS).alias("summary"),
+        "recommendation", "timestamp", F.col("timestamp").alias("created_at"))
 
 
 def message_events(spark: SparkSession, sf_dir: str) -> DataFrame:
