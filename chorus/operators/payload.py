@@ -112,11 +112,13 @@ def route_alerts(df: DataFrame, channels: DataFrame | None = None) -> DataFrame:
     e = alert_embed_columns(df.withColumn("target_channel", target))
     e = e.withColumn("embed", alert_embed(e))
     if channels is not None:
-        # A guild's channels: bounded and tiny, safe to broadcast.
+        # A guild's channel list is small, but nothing here proves it: no
+        # hint, so Spark broadcasts it only below its size threshold (exact
+        # for local data, file size for a table, measured size under AQE)
+        # and shuffles both sides beyond it.
         text_channels = (channels.filter(F.col("type") == "text")
                          .select(F.lower("name").alias("_chan_key")).distinct())
-        e = e.join(F.broadcast(text_channels), F.lower(F.col("target_channel")) == F.col("_chan_key"),
-                   "left_semi")
+        e = e.join(text_channels, F.lower(F.col("target_channel")) == F.col("_chan_key"), "left_semi")
     confirm = F.when(F.col("category") == "bug", F.lit(BUG_CONFIRMATION)) \
         .when(F.col("category") == "feature_request", F.lit(FEATURE_CONFIRMATION))
     msgs = F.filter(F.array(

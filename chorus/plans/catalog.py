@@ -99,7 +99,7 @@ FROM alerts_t WHERE timestamp > {T_AS_OF} - INTERVAL 24 HOUR
 GROUP BY category, severity
 """)
 def q03_hot_topics(spark, sf_dir):
-    a, _ = _tables(spark, sf_dir)
+    a = _alerts(spark, sf_dir)
     return an.hot_topics(a, hours=24, as_of=AS_OF)
 
 
@@ -109,7 +109,7 @@ FROM alerts_t WHERE timestamp > {T_AS_OF} - INTERVAL 720 HOUR
 GROUP BY category, severity
 """)
 def q03_hot_topics_30d(spark, sf_dir):
-    a, _ = _tables(spark, sf_dir)
+    a = _alerts(spark, sf_dir)
     return an.hot_topics(a, hours=720, as_of=AS_OF)
 
 
@@ -198,7 +198,7 @@ SELECT keyword, frequency FROM word_freq WHERE frequency > 2
 ORDER BY frequency DESC, keyword, prefix LIMIT 10
 """)
 def q07_trending_prefixes(spark, sf_dir):
-    _, m = _tables(spark, sf_dir)
+    m = _messages(spark, sf_dir)
     return an.trending_prefixes(m, hours=24, as_of=AS_OF)
 
 
@@ -212,7 +212,7 @@ SELECT keyword, frequency FROM word_freq WHERE frequency > 2
 ORDER BY frequency DESC, keyword, prefix LIMIT 10
 """)
 def q07_trending_prefixes_30d(spark, sf_dir):
-    _, m = _tables(spark, sf_dir)
+    m = _messages(spark, sf_dir)
     return an.trending_prefixes(m, hours=720, as_of=AS_OF)
 
 
@@ -600,7 +600,7 @@ FROM alerts_t a LEFT JOIN latest l ON a.message_id = l.message_id
 """)
 def q25_resolve_alerts(spark, sf_dir):
     a = _alerts(spark, sf_dir)
-    return rt.resolve_alerts(a, dv.resolutions(spark, sf_dir)) \
+    return rt.resolve_alerts(a, dv.resolutions(spark, sf_dir, a)) \
         .select("id", "message_id", "category", "resolved", "resolution_note", "resolved_at")
 
 

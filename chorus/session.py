@@ -53,6 +53,10 @@ def get_session(app_name: str = "chorus", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Do not capture the Python call site on every Column function call
+        # (several JVM round trips each): it only decorates error messages,
+        # and operators build plans of hundreds of expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

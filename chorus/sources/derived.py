@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chorus.functions.columns import iso_text
 from chorus.schemas import OWN_ENTRY_PREFIX
-from chorus.sources.tables import read_table, table_path
+from chorus.sources.tables import file_version, read_table, table_path
 
 # Fixed values of the derivation (FIXTURES.md §2).
 AS_OF = "2024-01-31 00:00:00"
@@ -57,23 +57,10 @@ def _narrow_inputs(spark: SparkSession, *dfs: DataFrame) -> int:
 _DOC_COUNTS: dict[tuple[str, int, int], int] = {}
 
 
-def _file_version(spark: SparkSession, path: str) -> tuple[str, int, int] | None:
-    """(qualified path, modification time, length) from the cluster's file
-    system, or None where the JVM file system is not reachable."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        st = fs.getFileStatus(p)
-        return (str(fs.makeQualified(p).toString()), int(st.getModificationTime()), int(st.getLen()))
-    except Exception:  # e.g. a Spark Connect session
-        return None
-
-
 def _document_count(spark: SparkSession, sf_dir: str, documents: DataFrame) -> Column:
     """``count(*)`` of the documents table as a literal when its file version
     is known (counted once per version), else as a lazy scalar subquery."""
-    version = _file_version(spark, table_path(sf_dir, "documents"))
+    version = file_version(spark, table_path(sf_dir, "documents"))
     if version is None:
         return documents.select(F.count(F.lit(1))).scalar()
     if version not in _DOC_COUNTS:
@@ -300,10 +287,12 @@ def events_from_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resolutions(spark: SparkSession, sf_dir: str, alerts_df: DataFrame | None = None) -> DataFrame:
     """Resolutions of feature requests: a 'reopened' note after three days
-    and the final note after seven (latest wins)."""
-    a = alerts(spark, sf_dir).filter(F.col("category") == "feature_request")
+    and the final note after seven (latest wins). ``alerts_df``: the alerts
+    table the caller already has (derived here otherwise)."""
+    base = alerts_df if alerts_df is not None else alerts(spark, sf_dir)
+    a = base.filter(F.col("category") == "feature_request")
     first = a.select("message_id", F.lit("Reopened for review").alias("note"),
                      (F.col("timestamp") + F.expr("INTERVAL 3 DAYS")).alias("resolved_at"))
     final = a.select("message_id",

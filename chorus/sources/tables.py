@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -19,11 +20,40 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def file_version(spark: SparkSession, path: str) -> tuple[str, int, int] | None:
+    """(qualified path, modification time, length) of ``path`` from the
+    cluster's file system (one metadata call), or None where the JVM file
+    system is not reachable (e.g. a Spark Connect session)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        st = fs.getFileStatus(p)
+        return (str(fs.makeQualified(p).toString()), int(st.getModificationTime()), int(st.getLen()))
+    except Exception:
+        return None
+
+
+# Scans of the given tables, per session and file version. A DataFrame is a
+# lazy plan, so reusing one costs nothing at run time; it saves the file
+# listing and footer reads of a new ``spark.read`` for every query. A new
+# version of a file (another modification time or length) gets a new scan.
+_SCANS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one of the given parquet tables. Column pruning and predicate
     pushdown happen at this scan once the operator's plan is analysed."""
     configure(spark)
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    version = file_version(spark, path)
+    if version is None:
+        return spark.read.parquet(path)
+    scans = _SCANS.setdefault(spark, {})
+    df = scans.get(version)
+    if df is None:
+        df = scans[version] = spark.read.parquet(path)
+    return df
 
 
 def read_stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
