@@ -322,6 +322,18 @@ def test_constraint_checks_find_violations(spark):
     assert ("foreign_key:message_id", "2") in keys and ("unique:message_id", "m1") in keys
 
 
+def test_orphan_count_is_per_alert_row_with_hot_key(spark):
+    """The FK count is pre-aggregated per message; it still counts alert rows."""
+    from chorus.operators import quality as qa
+    m = _msg_rows(spark, [dict(message_id="m1")])
+    a = _alert_rows(spark, [dict(id=i, message_id="gone") for i in range(1, 51)]
+                    + [dict(id=100, message_id="other"), dict(id=101, message_id="m1")])
+    got = {(r.table, r.rule): r.violations for r in qa.validate(m, a).collect()}
+    assert got[("alerts", "foreign_key:message_id")] == 51
+    none = {(r.table, r.rule): r.violations for r in qa.validate(m, a.filter(F.col("id") == 101)).collect()}
+    assert none[("alerts", "foreign_key:message_id")] == 0
+
+
 def test_utc_day_boundary_reproduces_text_comparison(spark):
     m = _msg_rows(spark, [dict(timestamp=dt.datetime(2024, 1, 30, 0, 0, 1)),
                           dict(timestamp=dt.datetime(2024, 1, 29, 23, 59, 59))])
