@@ -120,10 +120,19 @@ def search_alerts(alerts: DataFrame, messages: DataFrame, query: str | None = No
         a = a.filter(F.col("category") == category)
     if severity:
         a = a.filter(F.col("severity") == severity)
+    # On a table stored by UTC date, each bound also bounds the date
+    # partition (dt = to_date(timestamp)), so folders outside are skipped.
+    stored = "dt" in alerts.columns
     if start_date:
-        a = a.filter(F.col("timestamp") >= F.to_timestamp(F.lit(str(start_date))))
+        lo = F.to_timestamp(F.lit(str(start_date)))
+        a = a.filter(F.col("timestamp") >= lo)
+        if stored:
+            a = a.filter(F.col("dt") >= F.to_date(lo))
     if end_date:
-        a = a.filter(F.col("timestamp") <= F.to_timestamp(F.lit(str(end_date))))
+        hi = F.to_timestamp(F.lit(str(end_date)))
+        a = a.filter(F.col("timestamp") <= hi)
+        if stored:
+            a = a.filter(F.col("dt") <= F.to_date(hi))
     m = messages
     if channel:
         m = m.filter(F.col("channel_name") == channel)

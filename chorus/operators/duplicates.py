@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorus.functions.columns import lookback
+from chorus.operators.analytics import recent
 from chorus.operators.joins import join_messages
 
 
@@ -28,7 +28,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def bug_candidates(alerts: DataFrame, messages: DataFrame, days: int = 30, as_of=None) -> DataFrame:
     """Bug alerts of the last ``days`` joined to their message content."""
-    a = alerts.filter((F.col("category") == "bug") & lookback(F.col("timestamp"), as_of, days=days))
+    a = recent(alerts.filter(F.col("category") == "bug"), as_of, days=days)
     return join_messages(a, messages, ["content"])
 
 

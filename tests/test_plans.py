@@ -62,3 +62,23 @@ def test_scan_and_count_reused_per_file_version(spark, scratch):
     assert b.count() == 7
     n2 = dv._document_count(spark, d, b)
     assert spark.range(1).select(n2.alias("n")).first()["n"] == 7
+
+
+def test_stored_date_bounds_prune_alert_partitions(spark, scratch):
+    # Over tables stored by UTC date, the search's date range (Q5) and the
+    # duplicate candidates' look-back (Q8) also bound the dt partition.
+    import __spark_entry__ as E
+    from chorus.plans import catalog
+    from chorus.sources import stored
+    stored.write_feedback_tables(spark, SF, os.path.join(scratch, "store"))
+    catalog.STORE_ROOT = os.path.join(scratch, "store")
+    try:
+        for name in ("q05_search_alerts_filters", "q08_duplicate_bugs"):
+            df = E.queries()[name](spark, SF)
+            scans = [ln for ln in _plan(df).splitlines()
+                     if "FileScan parquet" in ln and "/store/alerts" in ln]
+            assert scans, name
+            assert all("dt#" in ln.split("PartitionFilters:")[1].split("PushedFilters:")[0]
+                       for ln in scans), (name, scans)
+    finally:
+        catalog.STORE_ROOT = None
