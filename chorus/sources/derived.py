@@ -11,6 +11,9 @@ pushed through them.
 
 from __future__ import annotations
 
+import functools
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +93,26 @@ def _join_documents(spark: SparkSession, events: DataFrame, documents: DataFrame
     return e.join(d, "doc_key")
 
 
+# Derived tables are lazy definitions, like views: each is defined once per
+# session and version of its two input files, and queries share it. A new
+# version of ``events`` or ``documents`` gets a new definition.
+_DEFINED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _defined_once(fn):
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        versions = tuple(file_version(spark, table_path(sf_dir, t)) for t in ("events", "documents"))
+        if None in versions:
+            return fn(spark, sf_dir)
+        defined = _DEFINED.setdefault(spark, {})
+        key = (fn.__name__,) + versions
+        if key not in defined:
+            defined[key] = fn(spark, sf_dir)
+        return defined[key]
+    return wrapper
+
+
 def _content(eid: Column, text: Column) -> Column:
     """Message text: a URL-only or a too-short text for two ids in fifty,
     else the document (FIXTURES.md §2)."""
@@ -98,6 +121,7 @@ def _content(eid: Column, text: Column) -> Column:
             .otherwise(text))
 
 
+@_defined_once
 def raw_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chat message per event, with the event-only fields kept
     (author_bot, guild_name, event_type) for the ingest filters."""
@@ -128,6 +152,7 @@ def raw_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_defined_once
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored ``messages`` table (schema ``chorus.schemas.MESSAGES``)."""
     r = raw_message_rows(spark, sf_dir)
@@ -138,6 +163,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMMARY_CHARS = 80
 
 
+@_defined_once
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored ``alerts`` table: one alert per non-click message, and a
     second one for every tenth (join fan-out).
@@ -188,6 +214,7 @@ def _own_or_external(text: Column, alert_id: Column) -> Column:
     return F.when(alert_id % 3 == 0, text).otherwise(F.concat(F.lit(OWN_ENTRY_PREFIX + " "), text))
 
 
+@_defined_once
 def bug_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``bug_reports`` rows as the alert router writes them, plus external ones."""
     a = alerts(spark, sf_dir).filter(F.col("category") == "bug")
@@ -202,6 +229,7 @@ def bug_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_defined_once
 def feature_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = alerts(spark, sf_dir).filter(F.col("category") == "feature_request")
     iso = iso_text(F.col("timestamp"))
