@@ -19,8 +19,15 @@ from chorus.plans.feedback_flow import FlowConfig, TablePaths, run_feedback_batc
 from chorus.schemas import MESSAGE_EVENTS
 
 
+# Default micro-batch bounds: a job restarted after a long stop (or started
+# on a large backlog) works through it in batches of bounded size instead of
+# one batch holding everything. Pass None for no bound.
+MAX_FILES_PER_TRIGGER = 1000
+MAX_OFFSETS_PER_TRIGGER = 5_000_000
+
+
 def event_stream(spark: SparkSession, source: str, fmt: str = "json",
-                 max_files_per_trigger: int | None = None) -> DataFrame:
+                 max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER) -> DataFrame:
     """A streaming DataFrame of message events from a folder (or glob)."""
     reader = spark.readStream.schema(MESSAGE_EVENTS).format(fmt)
     if max_files_per_trigger:
@@ -29,10 +36,14 @@ def event_stream(spark: SparkSession, source: str, fmt: str = "json",
 
 
 def kafka_event_stream(spark: SparkSession, bootstrap_servers: str, topic: str,
-                       starting_offsets: str = "latest", max_offsets_per_trigger: int | None = None) -> DataFrame:
+                       starting_offsets: str = "latest",
+                       max_offsets_per_trigger: int | None = MAX_OFFSETS_PER_TRIGGER) -> DataFrame:
     """Message events from a Kafka topic whose values are event JSON
-    (``MESSAGE_EVENTS``). Needs the Spark Kafka connector on the classpath;
-    the Kafka offset of each record is kept as ``arrival`` for first-write-wins."""
+    (``MESSAGE_EVENTS``). Needs the Spark Kafka connector on the classpath.
+
+    ``arrival`` (the first-write-wins order) is (broker timestamp, partition,
+    offset): offsets only order records inside one partition, the timestamp
+    orders copies of a message that landed in different partitions."""
     reader = (spark.readStream.format("kafka")
               .option("kafka.bootstrap.servers", bootstrap_servers)
               .option("subscribe", topic)
@@ -44,7 +55,9 @@ def kafka_event_stream(spark: SparkSession, bootstrap_servers: str, topic: str,
     except Exception as exc:  # connector missing
         raise RuntimeError("the Kafka source needs the spark-sql-kafka connector package") from exc
     ev = F.from_json(F.col("value").cast("string"), MESSAGE_EVENTS)
-    return raw.select(ev.alias("e"), F.col("offset").alias("arrival")).select("e.*", "arrival")
+    arrival = F.struct(F.col("timestamp").alias("ts"), F.col("partition").alias("partition"),
+                       F.col("offset").alias("offset"))
+    return raw.select(ev.alias("e"), arrival.alias("arrival")).select("e.*", "arrival")
 
 
 def start_ingest(spark: SparkSession, events: DataFrame, root: str, checkpoint: str,

@@ -86,6 +86,24 @@ def test_first_write_wins_and_insert_if_absent(spark):
     assert [(r.message_id, r.content) for r in out] == [("a", "first copy")]
 
 
+def test_first_write_wins_with_broker_arrival_order(spark):
+    """Kafka-style arrival (broker timestamp, partition, offset): copies in
+    different partitions are ordered by time, not by their offsets."""
+    ev = _events(spark, [dict(id="a", content="later copy"), dict(id="a", content="earlier copy"),
+                         dict(id="c", content="same time, lower offset"), dict(id="c", content="same time, higher")])
+    arrival = {"later copy": (T0 + dt.timedelta(seconds=5), 0, 1),
+               "earlier copy": (T0, 1, 900),
+               "same time, lower offset": (T0, 2, 3),
+               "same time, higher": (T0, 2, 4)}
+    sarr = spark.createDataFrame([(k, *v) for k, v in arrival.items()],
+                                 "content string, ts timestamp, partition int, offset long")
+    ev = ev.join(sarr, "content").withColumn("arrival", F.struct("ts", "partition", "offset")) \
+        .drop("ts", "partition", "offset")
+    out = ig.ingest_messages(ev, None, "G", ["feedback-lab"], as_of=AS_OF, arrival_col="arrival").collect()
+    assert sorted((r.message_id, r.content) for r in out) == [("a", "earlier copy"), ("c", "same time, lower offset")]
+    assert "arrival" not in out[0].asDict()
+
+
 def test_parse_analysis_paths(spark):
     rows = [
         ("prose", 'Sure: {"requiresAlert":true,"category":"bug","severity":"high","summary":"x",'
