@@ -21,14 +21,20 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def file_version(spark: SparkSession, path: str) -> tuple[str, int, int] | None:
-    """(qualified path, modification time, length) of ``path`` from the
-    cluster's file system (one metadata call), or None where the JVM file
-    system is not reachable (e.g. a Spark Connect session)."""
+    """(qualified path, modification time, length) of the single file at
+    ``path`` (one metadata call to the cluster's file system).
+
+    None for a directory: its modification time does not change when a file
+    lands in an existing sub-folder, so it cannot identify a version and
+    nothing keyed on it may be reused. None too where the JVM file system is
+    not reachable (e.g. a Spark Connect session)."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         st = fs.getFileStatus(p)
+        if not st.isFile():
+            return None
         return (str(fs.makeQualified(p).toString()), int(st.getModificationTime()), int(st.getLen()))
     except Exception:
         return None

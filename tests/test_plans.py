@@ -43,19 +43,24 @@ def test_message_scan_prunes_text_when_unused(spark):
     assert docs and all("text" not in ln.split("ReadSchema:")[1] for ln in docs), docs
 
 
+def _write_single_file(path, n):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    pq.write_table(pa.table({"doc_id": list(range(n)), "text": ["t"] * n}), path)
+
+
 def test_scan_and_count_reused_per_file_version(spark, scratch):
     d = os.path.join(scratch, "sf")
+    os.makedirs(d)
     path = os.path.join(d, "documents.parquet")
-    spark.range(5).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")) \
-        .write.mode("overwrite").parquet(path)
+    _write_single_file(path, 5)
     a = read_table(spark, d, "documents")
     assert read_table(spark, d, "documents") is a
     n = dv._document_count(spark, d, a)
     assert spark.range(1).select(n.alias("n")).first()["n"] == 5
 
     # A new version of the file gets a new scan and a new count.
-    spark.range(7).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")) \
-        .write.mode("overwrite").parquet(path)
+    _write_single_file(path, 7)
     os.utime(path, (1, 1))  # another modification time even within the same millisecond
     b = read_table(spark, d, "documents")
     assert b is not a
@@ -64,6 +69,21 @@ def test_scan_and_count_reused_per_file_version(spark, scratch):
     assert spark.range(1).select(n2.alias("n")).first()["n"] == 7
 
 
+def test_directory_tables_are_never_reused(spark, scratch):
+    # A folder's modification time does not change when a file lands in an
+    # existing sub-folder: folder tables are listed afresh on every read.
+    d = os.path.join(scratch, "sf")
+    path = os.path.join(d, "documents.parquet")
+    spark.range(3).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(1).alias("p")) \
+        .write.partitionBy("p").parquet(path)
+    a = read_table(spark, d, "documents")
+    spark.range(4).select(F.col("id").alias("doc_id"), F.lit("u").alias("text")) \
+        .write.mode("append").parquet(os.path.join(path, "p=1"))
+    b = read_table(spark, d, "documents")
+    assert b is not a
+    assert b.count() == 7
+
+
 def test_stored_date_bounds_prune_alert_partitions(spark, scratch):
     # Over tables stored by UTC date, the search's date range (Q5) and the
     # duplicate candidates' look-back (Q8) also bound the dt partition.
