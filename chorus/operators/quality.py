@@ -1,9 +1,9 @@
 """Schema constraints of the stored tables as check jobs (Q29).
 
 The reference declares NOT NULL, UNIQUE and a foreign key in its DDL; a
-parquet table enforces none of them, so each becomes an aggregation or an
-anti-join that reports violations. All checks run as one union of small
-aggregates; offending keys come from :func:`violations`.
+parquet table enforces none of them, so each becomes a count. :func:`validate`
+counts every rule in one pass per table (per-key aggregates, then one join of
+the two); offending keys come from :func:`violations`.
 """
 
 from __future__ import annotations
@@ -47,37 +47,37 @@ def violations(messages: DataFrame, alerts: DataFrame) -> DataFrame:
     return out
 
 
-def _counts_row(table: str, df: DataFrame, checks: list[tuple[str, object]]) -> DataFrame:
-    """One scan of ``df`` counting every check; unpivoted to (table, rule,
-    violations) rows."""
-    agg = df.agg(*[F.count_if(cond).alias(f"c{i}") for i, (_, cond) in enumerate(checks)])
-    pairs = [F.struct(F.lit(table).alias("table"), F.lit(rule).alias("rule"),
-                      F.col(f"c{i}").cast("long").alias("violations"))
-             for i, (rule, _) in enumerate(checks)]
-    return agg.select(F.inline(F.array(*pairs)))
-
-
 def validate(messages: DataFrame, alerts: DataFrame) -> DataFrame:
     """Q29: (table, rule, violations) for every rule, zero included.
 
-    NOT NULL and domain rules of a table are counted in one scan; UNIQUE is
-    a grouped count and the foreign key an anti-join. Offending keys come
-    from :func:`violations`.
+    One pass per table: each table is aggregated per ``message_id`` with its
+    NOT NULL and domain counts (partial aggregation, so a hot key collapses
+    map-side); the two per-key aggregates (unique keys on both sides) are
+    joined, and one global aggregation yields every rule: UNIQUE = keys with
+    more than one message, FOREIGN KEY = alerts whose key has no message (a
+    NULL key never matches). Offending keys come from :func:`violations`.
     """
     m_checks = [(f"not_null:{c}", F.col(c).isNull()) for c in _not_null_cols(MESSAGES) if c in messages.columns]
     a_checks = [(f"not_null:{c}", F.col(c).isNull()) for c in _not_null_cols(ALERTS) if c in alerts.columns]
     a_checks += [("domain:category", ~F.col("category").isin(CATEGORIES)),
                  ("domain:severity", F.col("severity").isNotNull() & ~F.col("severity").isin(SEVERITIES))]
-    dup = (messages.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-           .agg(F.count(F.lit(1)).alias("violations"))
-           .select(F.lit("messages").alias("table"), F.lit("unique:message_id").alias("rule"), "violations"))
-    # Alerts are counted per message before the anti-join: a message with a
-    # third of all alerts becomes one row map-side instead of one hot task.
-    per_msg = alerts.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
-    orphans = (per_msg.join(messages.select("message_id"), "message_id", "left_anti")
-               .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations"))
-               .select(F.lit("alerts").alias("table"), F.lit("foreign_key:message_id").alias("rule"),
-                       "violations"))
-    return (_counts_row("messages", messages, m_checks)
-            .unionByName(_counts_row("alerts", alerts, a_checks))
-            .unionByName(dup).unionByName(orphans))
+    m_agg = messages.groupBy("message_id").agg(
+        F.count(F.lit(1)).alias("_m_n"), *[F.count_if(c).alias(f"_m{i}") for i, (_, c) in enumerate(m_checks)])
+    a_agg = alerts.groupBy("message_id").agg(
+        F.count(F.lit(1)).alias("_a_n"), *[F.count_if(c).alias(f"_a{i}") for i, (_, c) in enumerate(a_checks)])
+    joined = a_agg.join(m_agg, "message_id", "full_outer")
+
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    totals = joined.agg(
+        *[total(f"_m{i}").alias(f"_m{i}") for i in range(len(m_checks))],
+        *[total(f"_a{i}").alias(f"_a{i}") for i in range(len(a_checks))],
+        F.count_if(F.col("_m_n") > 1).cast("long").alias("_dup"),
+        total(F.when(F.col("_m_n").isNull(), F.col("_a_n"))).alias("_orphans"))
+    rows = ([("messages", rule, f"_m{i}") for i, (rule, _) in enumerate(m_checks)]
+            + [("alerts", rule, f"_a{i}") for i, (rule, _) in enumerate(a_checks)]
+            + [("messages", "unique:message_id", "_dup"), ("alerts", "foreign_key:message_id", "_orphans")])
+    return totals.select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("table"), F.lit(r).alias("rule"), F.col(c).alias("violations"))
+        for t, r, c in rows])))

@@ -352,6 +352,20 @@ def test_orphan_count_is_per_alert_row_with_hot_key(spark):
     assert none[("alerts", "foreign_key:message_id")] == 0
 
 
+def test_constraint_counts_with_null_keys(spark):
+    """NULL keys: never a match for the foreign key, one group for UNIQUE."""
+    from chorus.operators import quality as qa
+    m = spark.createDataFrame([("m1", "x"), (None, "y"), (None, "z")], "message_id string, content string")
+    a = spark.createDataFrame([(1, "m1", "bug", None), (2, None, "bug", "low"), (3, "zz", "bogus", None)],
+                              "id long, message_id string, category string, severity string")
+    got = {(r.table, r.rule): r.violations for r in qa.validate(m, a).collect()}
+    assert got == {("messages", "not_null:message_id"): 2, ("messages", "not_null:content"): 0,
+                   ("messages", "unique:message_id"): 1, ("alerts", "not_null:id"): 0,
+                   ("alerts", "not_null:message_id"): 1, ("alerts", "not_null:category"): 0,
+                   ("alerts", "domain:category"): 1, ("alerts", "domain:severity"): 0,
+                   ("alerts", "foreign_key:message_id"): 2}
+
+
 def test_utc_day_boundary_reproduces_text_comparison(spark):
     m = _msg_rows(spark, [dict(timestamp=dt.datetime(2024, 1, 30, 0, 0, 1)),
                           dict(timestamp=dt.datetime(2024, 1, 29, 23, 59, 59))])
