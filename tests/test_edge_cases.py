@@ -366,6 +366,29 @@ def test_constraint_counts_with_null_keys(spark):
                    ("alerts", "foreign_key:message_id"): 2}
 
 
+def test_team_metrics_one_hour_boundary_in_whole_seconds(spark):
+    """Young = less than 3600 whole seconds before as_of; a future alert counts as young."""
+    m = _msg_rows(spark, [dict(message_id="m1", author_id="u1"), dict(message_id="m2", author_id="u2")])
+    a = _alert_rows(spark, [
+        dict(id=1, message_id="m1", timestamp=dt.datetime(2024, 1, 30, 23, 0, 0)),   # 3600 s: not young
+        dict(id=2, message_id="m1", timestamp=dt.datetime(2024, 1, 30, 23, 0, 1)),   # 3599 s: young
+        dict(id=3, message_id="m2", timestamp=dt.datetime(2024, 1, 31, 0, 10, 0)),   # future: young
+        dict(id=4, message_id="m2", timestamp=dt.datetime(2024, 1, 21, 0, 0, 0)),    # in window, old
+        dict(id=5, message_id="m2", timestamp=dt.datetime(2023, 12, 1, 0, 0, 0)),    # outside 30 days
+    ])
+    (r,) = an.team_metrics(a, m, days=30, as_of=AS_OF).collect()
+    assert (r.category, r.alerts_created, r.unique_reporters) == ("bug", 4, 2)
+    assert isinstance(r.response_within_1hr, float) and r.response_within_1hr == 0.5
+
+
+def test_daily_report_channels_sorted_distinct(spark):
+    m = _msg_rows(spark, [dict(message_id="m1", channel_name="b"), dict(message_id="m2", channel_name="a"),
+                          dict(message_id="m3", channel_name="b")])
+    a = _alert_rows(spark, [dict(id=i, message_id=f"m{i}") for i in (1, 2, 3)])
+    (r,) = an.daily_report(a, m, as_of=AS_OF).collect()
+    assert (r.category, r["count"], r.channels) == ("bug", 3, "a,b")
+
+
 def test_utc_day_boundary_reproduces_text_comparison(spark):
     m = _msg_rows(spark, [dict(timestamp=dt.datetime(2024, 1, 30, 0, 0, 1)),
                           dict(timestamp=dt.datetime(2024, 1, 29, 23, 59, 59))])
