@@ -102,3 +102,15 @@ def test_stored_date_bounds_prune_alert_partitions(spark, scratch):
                        for ln in scans), (name, scans)
     finally:
         catalog.STORE_ROOT = None
+
+
+def test_no_query_plans_pairs_or_python(spark):
+    # Scale guards over every registered query: no cartesian product or
+    # nested-loop join (all pairs), and no Python stage on the default path
+    # (the native keyword model; Python runs only for a user-supplied model).
+    import __spark_entry__ as E
+    banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+              "MapInPandas")
+    for name, fn in sorted(E.queries().items()):
+        plan = _plan(fn(spark, SF))
+        assert not [b for b in banned if b in plan], name
