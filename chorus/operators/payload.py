@@ -6,8 +6,8 @@ A payload ("embed") is a struct column; its ``fields`` are an array of
 appends to the ``notifications`` table (partitioned by target channel);
 delivering them to a chat service is outside Spark.
 
-The channel dimension is tiny and bounded (a guild's channels), so it is
-the one side that gets an explicit broadcast hint.
+The channel dimension (a guild's channels) is joined without a broadcast
+hint: Spark broadcasts it when its size is below the threshold.
 """
 
 from __future__ import annotations
