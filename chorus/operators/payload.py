@@ -121,19 +121,23 @@ def route_alerts(df: DataFrame, channels: DataFrame | None = None) -> DataFrame:
         e = e.join(text_channels, F.lower(F.col("target_channel")) == F.col("_chan_key"), "left_semi")
     confirm = F.when(F.col("category") == "bug", F.lit(BUG_CONFIRMATION)) \
         .when(F.col("category") == "feature_request", F.lit(FEATURE_CONFIRMATION))
+    # Only (seq, text) goes through the explode; the embed and the files
+    # are set on the seq-0 row after it. Catalyst does not prune unused
+    # fields of structs built inside the exploded array, so a caller that
+    # does not read the embed would still build it (and join the message
+    # text it quotes); outside the array it is pruned.
     msgs = F.filter(F.array(
-        F.struct(F.lit(0).alias("seq"), F.lit(None).cast("string").alias("content"),
-                 F.to_json(F.col("embed")).alias("embed_json"), F.col("files").alias("files")),
-        F.when(confirm.isNotNull(),
-               F.struct(F.lit(1).alias("seq"), confirm.alias("content"),
-                        F.lit(None).cast("string").alias("embed_json"),
-                        F.array().cast("array<string>").alias("files"))),
+        F.struct(F.lit(0).alias("seq"), F.lit(None).cast("string").alias("content")),
+        F.when(confirm.isNotNull(), F.struct(F.lit(1).alias("seq"), confirm.alias("content"))),
     ), lambda x: x.isNotNull())
-    return (e.select(F.col("alert_id").alias("source_id"), "target_channel", F.explode(msgs).alias("m"))
+    first = F.col("m.seq") == 0
+    return (e.select(F.col("alert_id").alias("source_id"), "target_channel", "embed", "files",
+                     F.explode(msgs).alias("m"))
             .select(F.lit("alert").alias("source"), "source_id", F.col("m.seq").alias("seq"),
                     "target_channel", F.lit(None).cast("string").alias("recipient"),
-                    F.col("m.content").alias("content"), F.col("m.embed_json").alias("embed_json"),
-                    F.col("m.files").alias("files")))
+                    F.col("m.content").alias("content"),
+                    F.when(first, F.to_json(F.col("embed"))).alias("embed_json"),
+                    F.when(first, F.col("files")).otherwise(F.array().cast("array<string>")).alias("files")))
 
 
 def external_embed_columns(df: DataFrame, kind: str) -> DataFrame:

@@ -246,8 +246,14 @@ def test_attachments_payload(spark):
     assert e.files == ["https://f/a", "https://f/b"]
     assert e.link_value is None and e.recommendation_value == "Review message"
     assert e.title == "🐛 BUG" and e.color == 0x00CC00
-    routed = pl.route_alerts(df).collect()
+    routed = sorted(pl.route_alerts(df).collect(), key=lambda r: r.seq)
     assert [(r.seq, r.target_channel) for r in routed] == [(0, "❗║error-handling"), (1, "❗║error-handling")]
+    import json
+    embed = json.loads(routed[0].embed_json)
+    assert embed["title"] == "🐛 BUG" and embed["image"] == "https://f/a"
+    assert [f["name"] for f in embed["fields"]][-1] == "Media Attachments"
+    assert routed[0].content is None and routed[0].files == ["https://f/a", "https://f/b"]
+    assert routed[1].embed_json is None and routed[1].files == [] and routed[1].content.startswith("✅")
 
 
 def test_route_drops_missing_channel(spark):
