@@ -114,3 +114,37 @@ def test_no_query_plans_pairs_or_python(spark):
     for name, fn in sorted(E.queries().items()):
         plan = _plan(fn(spark, SF))
         assert not [b for b in banned if b in plan], name
+
+
+def _write_inputs(d, n_events, event_type="error"):
+    import datetime as dt
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    pq.write_table(pa.table({
+        "event_id": list(range(n_events)),
+        "ts": [dt.datetime(2024, 1, 30, 12, 0, 0)] * n_events,
+        "user_id": [1] * n_events,
+        "event_type": [event_type] * n_events,
+        "value": [0.0] * n_events,
+        "props": [""] * n_events,
+    }), os.path.join(d, "events.parquet"))
+    pq.write_table(pa.table({"doc_id": [0, 1], "text": ["a crash here", "all fine"], "lang": ["en"] * 2,
+                             "source": ["s1", "s2"], "n_chars": [12, 8]}), os.path.join(d, "documents.parquet"))
+
+
+def test_derived_definitions_follow_input_versions(spark, scratch):
+    # Derived tables are shared per input file version; a new version of an
+    # input gets a new definition (never a stale one).
+    d = os.path.join(scratch, "inputs")
+    os.makedirs(d)
+    _write_inputs(d, 4)
+    a = dv.alerts(spark, d)
+    assert dv.alerts(spark, d) is a
+    assert a.count() == 4 + 1  # event 0 also gets the second alert (id % 10 = 0)
+    _write_inputs(d, 12, event_type="view")
+    os.utime(os.path.join(d, "events.parquet"), (1, 1))
+    b = dv.alerts(spark, d)
+    assert b is not a
+    assert b.count() == 12 + 2  # events 0 and 10
+    assert {r.category for r in b.select("category").collect()} == {"complaint"}
