@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import exact_dedup, line_dedup, sql
-from chorus.llm.common import read_table
+from chorus.llm import exact_dedup, line_dedup, quality, sql
+from chorus.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_exact_dedup", sql.EXACT_DEDUP)
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
+
+
+@register("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_scores(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), learns=fold(4) != 2)
+    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
