@@ -127,3 +127,41 @@ def local_path(uri: str) -> str | None:
         return "/" + uri[5:].lstrip("/")
     return None if "://" in uri else os.path.abspath(uri)
 
+
+
+# Arrays of a model as files in the shared folder, memory-mapped by workers.
+
+def _file_system(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def put_array(folder: str, name: str, values: np.ndarray) -> str:
+    """Write an array under a name of its own, from a task; returns the file's
+    name.  A repeated task writes another file, so its row names a whole one."""
+    own = f"{name}-{uuid.uuid4().hex[:12]}"
+    system, path = _file_system(folder)
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/{own}") as out:
+        out.write(np.ascontiguousarray(values).tobytes())
+    return own
+
+
+def get_array(folder: str, name: str, dtype) -> np.ndarray:
+    """The array, memory-mapped: from the shared folder where that is mounted,
+    else from a copy that the worker fetches once and can fetch again."""
+    path = local_path(folder)
+    if path is None:
+        path = os.path.join(tempfile.gettempdir(), "chorus-llm-model", os.path.basename(folder))
+        if not os.path.exists(f"{path}/{name}"):
+            system, source = _file_system(folder)
+            os.makedirs(path, exist_ok=True)
+            part = f"{path}/{name}.{uuid.uuid4().hex[:8]}"
+            with system.open_input_stream(f"{source}/{name}") as src, open(part, "wb") as out:
+                while chunk := src.read(1 << 24):
+                    out.write(chunk)
+            os.replace(part, f"{path}/{name}")
+    if not os.path.getsize(f"{path}/{name}"):
+        return np.empty(0, dtype)
+    return np.memmap(f"{path}/{name}", dtype=dtype, mode="r")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import exact_dedup, line_dedup, quality, sql
+from chorus.llm import exact_dedup, language_id, line_dedup, quality, sql
 from chorus.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_scores(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), learns=fold(4) != 2)
     return out.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify(_documents(spark, sf_dir), learns=fold(5) != 0)
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
