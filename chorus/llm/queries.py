@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import exact_dedup, language_id, line_dedup, quality, sql
+from chorus.llm import exact_dedup, language_id, line_dedup, pii, quality, sql
 from chorus.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify(_documents(spark, sf_dir), learns=fold(5) != 0)
     return out.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@register("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_documents(spark, sf_dir))
