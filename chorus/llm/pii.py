@@ -33,10 +33,12 @@ from chorus.llm.common import texts
 
 KINDS = ("email", "ip", "card", "phone")
 
-# The patterns of the four kinds.
+# The patterns of the four kinds.  An address is found from its @
+# (what stands before it cannot hold another), and a quad begins where its first
+# number does, so long runs of letters or digits cost one scan.
+_USER, _HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -79,12 +81,12 @@ def _single(c: str) -> str | None:
 _DISGUISED = "".join([*_LOOKALIKES, *_ZERO_WIDTH]) + "！-～٠-٩۰-۹०-९\U0001d400-\U0001d6a3\U0001d7ce-\U0001d7ff"
 _ONE = re.compile(f"[{_DISGUISED}]")
 _NAME = "|".join(sorted(_DIGITS, key=len, reverse=True))
-_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|{_NAME}|\+|\d+)(?!\w)[ \t,.()-]*)*(?:{_NAME})(?!\w)(?:[ \t,.()-]*(?:{_NAME}|dot|point|punkt|punto|\d+)(?!\w))*")
+_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|{_NAME}|\+|\d+)(?!\w)[ \t,.()-]*){{0,24}}(?:{_NAME})(?!\w)(?:[ \t,.()-]*(?:{_NAME}|dot|point|punkt|punto|\d+)(?!\w))*")
 _PART = re.compile(rf"(?i)(?P<plus>plus\b)|(?P<digit>(?:{_NAME})(?!\w))|(?P<dot>(?:dot|point|punkt|punto)(?!\w))|(?P<number>\d+)|(?P<gap>[ \t,]+)|(?P<other>.)")
 _OPEN, _CLOSE = r"[ \t]*[\[({<|]+[ \t]*", r"[ \t]*[\])}>|]+[ \t]*"
 _AT = rf"(?:{_OPEN}(?:at|@|ät|arroba|arobase){_CLOSE}|[ \t]+(?:at|arroba|arobase)[ \t]+|[ \t]*@[ \t]*|[ _-]+AT[ _-]+)"
 _DOT = rf"(?:{_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}|[ \t]+(?:dot|punkt|point|punto)[ \t]+|\.|[ _-]+DOT[ _-]+)"
-_ADDRESS = re.compile(rf"(?i)(?P<user>[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*){_AT}(?P<host>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)")
+_ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9_%+-])(?P<user>[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,8}}){_AT}(?P<host>[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}})")
 _PLAIN_AT = re.compile(r"(?i)[ \t]+(?:at|arroba|arobase)[ \t]+")
 # Last labels that make "name at host.tld" an address though only its @ is spelled.
 _TOP_LABELS = frozenset("com org net edu gov mil int info biz io co ai app dev me eu uk de fr es it nl be at ch us ca au in jp cn ru br mx se no dk fi pl pt ie nz".split())
@@ -105,20 +107,28 @@ def _luhn(digits: str) -> bool:
 
 
 def _passes(kind: str, found: str) -> bool:
-    if kind == "email":
-        return True
     if kind == "ip":
         return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
     digits = "".join(c for c in found if "0" <= c <= "9")
     return 13 <= len(digits) <= 19 and _luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def _emails(text: str) -> Iterator[tuple[str, int, int]]:
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _USER:
+            start -= 1
+        if start < at and (host := _HOST.match(text, at + 1)):
+            done = host.end()
+            yield "email", start, done
+        at = text.find("@", max(at + 1, done))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the undisguised identifiers, by kind, then start."""
-    out = []
+    out = list(_emails(text))
     for kind, pattern in _PATTERNS.items():
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
         out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _passes(kind, m[0])]
     return out
 
