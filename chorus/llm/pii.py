@@ -25,11 +25,12 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from chorus.llm.common import texts
+from chorus.llm import tokens
+from chorus.llm.common import slice_rows, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -91,11 +92,52 @@ _PLAIN_AT = re.compile(r"(?i)[ \t]+(?:at|arroba|arobase)[ \t]+")
 # Last labels that make "name at host.tld" an address though only its @ is spelled.
 _TOP_LABELS = frozenset("com org net edu gov mil int info biz io co ai app dev me eu uk de fr es it nl be at ch us ca au in jp cn ru br mx se no dk fi pl pt ie nz".split())
 _DOT_IN = re.compile(f"(?i){_DOT}")
-_NUMBERS = re.compile(rf"(?i)\d+(?:{_DOT}\d+){{3}}")
-
-#: RE2, for a whole column at once: whether a text can hold any span at all.
-_PLAIN = "[0-9@]"
-_HIDDEN = rf"(?i)[{_DISGUISED}]|\b(?:at|arroba|arobase|ät|dot|punkt|point|punto)\b|\b(?:{_NAME})\b[ \t,.()-]*\b(?:{_NAME}|[0-9]+)\b"
+_NUMBERS = re.compile(rf"(?i)(?<!\d)\d+(?:{_DOT}\d+){{3}}")
+
+_AT_WORDS = ("at", "arroba", "arobase", "ät")
+_DOT_WORDS = ("dot", "punkt", "point", "punto")
+_bytes = np.arange(256)
+_IS_DIGIT = (_bytes >= 48) & (_bytes <= 57)
+#: First bytes of the characters that may be disguises: above ASCII, but not U+00C0 to U+00FF or U+0140 to U+017F.
+_IS_RARE = (_bytes >= 0xC0) & (_bytes != 0xC3) & (_bytes != 0xC5)
+
+
+def _word_hashes(words: Iterable[str]) -> np.ndarray:
+    return np.sort(tokens.words(*tokens.string_bytes(pa.array(sorted(words))), tokens.NOT_ALNUM)[0])
+
+
+def _flags(column) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each text may hold a base span, and whether it may hold a disguised one:
+    a rare character; a spelled digit beside another or a number; a mark for @ with one
+    for a full stop; or a mark for a full stop and a digit."""
+    data, offsets = tokens.string_bytes(column)
+    n = len(offsets) - 1
+
+    def texts_with(at: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, bool)
+        out[np.searchsorted(offsets, at, "right") - 1] = True
+        return out
+
+    digit = texts_with(np.flatnonzero(_IS_DIGIT[data]))
+    at_sign = texts_with(np.flatnonzero(data == 64))
+    h, start, _, first = tokens.words(data, offsets, tokens.NOT_ALNUM)
+    of = tokens.lengths_to_index(np.diff(first))
+
+    def holding(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(of[mask], minlength=n) > 0
+
+    name = np.isin(h, _word_hashes(_DIGITS))
+    number = name | _IS_DIGIT[data[start]]
+    beside = np.zeros(len(h), bool)
+    beside[1:] = (name[1:] & number[:-1] | number[1:] & name[:-1]) & (of[1:] == of[:-1])
+    stop = np.flatnonzero(data[1:-1] == 46) + 1
+    before, after = data[stop - 1], data[stop + 1]
+    joins = texts_with(stop[~tokens.NOT_ALNUM[tokens.LOWER[before]] & ~tokens.NOT_ALNUM[tokens.LOWER[after]]])
+    boxed = texts_with(stop[np.isin(before, list(b"[({<|"))])
+    dotted = boxed | holding(np.isin(h, _word_hashes(_DOT_WORDS)))
+    marked = at_sign | holding(np.isin(h, _word_hashes(_AT_WORDS)))
+    spaced = texts_with(np.flatnonzero((data[1:] == 64) & np.isin(data[:-1], list(b" \t[({<|"))) + 1) | holding(np.isin(h, _word_hashes(_AT_WORDS)))
+    return digit | at_sign, texts_with(np.flatnonzero(_IS_RARE[data])) | holding(beside) | marked & dotted | spaced & joins | dotted & digit
 
 
 def _luhn(digits: str) -> bool:
@@ -208,9 +250,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in slice_rows(whole)):
         column = b.column("text")
-        plain, hidden = pc.match_substring_regex(column, _PLAIN).to_pylist(), pc.match_substring_regex(column, _HIDDEN).to_pylist()
+        plain, hidden = _flags(column)
         counts: list[list[int]] = [[] for _ in KINDS]
         base_texts, all_texts = [], []
         for i, (has_plain, has_hidden) in enumerate(zip(plain, hidden, strict=True)):
