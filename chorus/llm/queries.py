@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, pii, quality, sql
+from chorus.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, ngram_jaccard, pii, quality, sql
 from chorus.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_decontamination", sql.DECONTAMINATION)
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op1_ngram_jaccard")
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.linked_components(_documents(spark, sf_dir))
