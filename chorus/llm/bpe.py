@@ -115,16 +115,21 @@ def _blocks(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
         yield block()
 
 
+def _in_order(words: dict[str, int], shards: int) -> list[tuple[int, int, bytes]]:
+    """(place in the block, shard, bytes) of its words in the order of asking: by shard, then bytes."""
+    encoded = ((place, w.encode()) for w, place in words.items())
+    return sorted(((place, xxhash.xxh3_64_intdigest(w) % shards, w) for place, w in encoded), key=lambda x: x[1:])
+
+
 def _asked(pattern: str, shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(shard, block, words): the block's distinct words of a shard, with their places in its list."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for name, _, _, _, words in _blocks(batches, pattern):
-            encoded = sorted(w.encode() for w in words)
             by_shard: list[list[bytes]] = [[] for _ in range(shards)]
-            for w in encoded:
-                by_shard[xxhash.xxh3_64_intdigest(w) % shards].append(w)
+            for _, shard, w in _in_order(words, shards):
+                by_shard[shard].append(w)
             used = [s for s in range(shards) if by_shard[s]]
             packed = [press.compress(np.array([len(by_shard[s]), *map(len, by_shard[s])], "<u4").tobytes() + b"".join(by_shard[s])) for s in used]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([name] * len(used), pa.int64()), pa.array(packed, pa.binary())], names=["shard", "block", "words"])
@@ -140,10 +145,10 @@ def _unpack_words(blob: bytes) -> list[bytes]:
 
 
 def _answered(path: str) -> Callable[[pa.Table], pa.Table]:
-    """(shard, block, ids): each distinct word of the shard merged once, the answers in the order asked."""
+    """(shard, block, n_words, ids): each distinct word of the shard merged once, the answers in the order asked."""
 
     def run(t: pa.Table) -> pa.Table:
-        ranks, known, out = read_ranks(path), {}, []
+        ranks, known, out, asked = read_ranks(path), {}, [], []
         for blob in t.column("words"):
             ids, sizes = [], []
             for w in _unpack_words(blob.as_py()):
@@ -152,26 +157,26 @@ def _answered(path: str) -> Callable[[pa.Table], pa.Table]:
                     found = known[w] = merge_word(w, ranks)
                 ids += found
                 sizes.append(len(found))
+            asked.append(len(sizes))
             sizes, ids = _planes(np.array(sizes, np.uint64)), _planes(np.array(ids, np.uint64))
             out.append(np.array([len(sizes)], "<u4").tobytes() + sizes + ids)
-        return pa.table({"shard": t.column("shard"), "block": t.column("block"), "words": t.column("words"), "ids": pa.array(out, pa.binary())})
+        return pa.table({"shard": t.column("shard"), "block": t.column("block"), "n_words": pa.array(asked, pa.int64()), "ids": pa.array(out, pa.binary())})
 
     return run
 
 
-def _positions(pattern: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(block, docs, words, places): doc_ids with their sizes, and positions in the block's sorted words."""
+def _positions(pattern: str, shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(block, docs, words, places): doc_ids with their sizes, and positions in the block's words as asked."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, sizes, positions, words in _blocks(batches, pattern):
-            encoded = [w.encode() for w in words]
             common = np.bincount(positions, minlength=len(words)) if len(words) else np.empty(0, np.int64)
             # frequent words get small numbers, which pack better
             by_use = np.argsort(-common, kind="stable")
             number = np.empty(len(words), np.uint64)
             number[by_use] = np.arange(len(words))
             rank = np.empty(len(words), np.uint64)
-            rank[sorted(range(len(words)), key=encoded.__getitem__)] = np.arange(len(words))
+            rank[[place for place, _, _ in _in_order(words, shards)]] = np.arange(len(words))
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_planes(rank[by_use]) if len(words) else b""], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([_planes(number[positions])], pa.binary())], names=["block", "docs", "sizes", "order", "n_words", "places"])
 
     return run
@@ -185,27 +190,23 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's documents with their ids."""
-    docs, ids_out = [], []
+    docs: list[int] = []
+    ids_out: list[bytes] = []
     # equal blocks (repeated rows) ask the same words: one answer of each shard serves all
-    answers = {s: (w, i) for s, w, i in zip(right.column("shard").to_pylist(), right.column("words").to_pylist(), right.column("ids").to_pylist(), strict=True)}
-    encoded: list[bytes] = []
+    answers = {s: (n, i) for s, n, i in zip(right.column("shard").to_pylist(), right.column("n_words").to_pylist(), right.column("ids").to_pylist(), strict=True)}
     ids, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for words, blob in (answers[s] for s in sorted(answers)):
-        mine = _unpack_words(words)
+    for n, blob in (answers[s] for s in sorted(answers)):
         cut = 4 + int(np.frombuffer(blob, "<u4", 1)[0])
-        size = _values(blob[4:cut], len(mine)).astype(np.int64)
-        encoded += mine
-        sizes.append(size)
-        ids.append(_values(blob[cut:], int(size.sum())).astype(np.int64))
+        sizes.append(_values(blob[4:cut], n).astype(np.int64))
+        ids.append(_values(blob[cut:], int(sizes[-1].sum())).astype(np.int64))
     flat, size = np.concatenate(ids).astype("<u4"), np.concatenate(sizes)
     start = np.cumsum(size) - size
-    in_order = np.array(sorted(range(len(encoded)), key=encoded.__getitem__), np.int64)
     for row in left.to_pylist():
         n, n_docs = row["n_words"], row["sizes"]
-        if n != len(encoded):
+        if n != len(size):
             raise ValueError("a block's words and positions come from different readings of its texts")
         total = sum(n_docs)
-        places = in_order[_values(row["order"], n).astype(np.int64)][_values(row["places"], total).astype(np.int64)] if n else np.empty(0, np.int64)
+        places = _values(row["order"], n).astype(np.int64)[_values(row["places"], total).astype(np.int64)] if n else np.empty(0, np.int64)
         all_ids = flat[_ragged(start[places], size[places])]
         ends = np.r_[0, np.cumsum(size[places])][np.r_[0, np.cumsum(n_docs)].astype(np.int64)]
         docs += row["docs"]
@@ -218,8 +219,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(docs)
     asked = rows.mapInArrow(_asked(pattern, shards), "shard int, block long, words binary")
-    answered = asked.groupBy("shard").applyInArrow(_answered(ranks_path), "shard int, block long, words binary, ids binary")
-    placed = rows.mapInArrow(_positions(pattern), "block long, docs array<long>, sizes array<long>, order binary, n_words long, places binary")
+    answered = asked.groupBy("shard").applyInArrow(_answered(ranks_path), "shard int, block long, n_words long, ids binary")
+    placed = rows.mapInArrow(_positions(pattern, shards), "block long, docs array<long>, sizes array<long>, order binary, n_words long, places binary")
     return placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_assembled, "doc_id long, ids binary")
 
 
