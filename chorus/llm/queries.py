@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, ngram_jaccard, pii, quality, sql
+from chorus.llm import bpe, decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, ngram_jaccard, pii, quality, sql
 from chorus.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_ngram_jaccard")
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.linked_components(_documents(spark, sf_dir))
+
+
+@register("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kneser_ney.language_model_scores(_documents(spark, sf_dir), fold(10) != 0)
+    return out.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
