@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import bpe, decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, ngram_jaccard, pii, quality, sql
+from chorus.llm import bpe, decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, ngram_jaccard, pii, quality, sql, toxicity
 from chorus.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kneser_ney.language_model_scores(_documents(spark, sf_dir), fold(10) != 0)
     return out.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity_scores(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), learns=fold(5) != 0)
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

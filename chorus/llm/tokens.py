@@ -92,14 +92,17 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Iter
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE, table: np.ndarray = LOWER, heads: list[tuple[int, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, first): a row per word, A-Z lower-cased, in order;
-    first[i]:first[i + 1] are the words of text i."""
+    first[i]:first[i + 1] are the words of text i.  table maps bytes before all
+    else; heads, pairs of a length and an empty array, get the hashes of the words'
+    first bytes, 0 for words that are not longer."""
     hashes, starts, ends = [], [], []
+    begun: list[list[np.ndarray]] = [[] for _ in heads or ()]
     power, inverse = _tables(1)
     for a, b in _cuts(data, offsets, separators):
         power, inverse = _tables(b - a + 1)
-        low = LOWER[data[a:b]]
+        low = table[data[a:b]]
         inside = ~separators[low]
         edges = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")] - a
         begin = inside.copy()
@@ -113,10 +116,15 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE)
         total = np.zeros(b - a + 1, np.uint64)
         np.cumsum(_CODES[low] * power[: b - a], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)))
+        for (length, _), found in zip(heads or (), begun, strict=True):
+            cut = np.minimum(s + length, e)
+            found.append(np.where(e - s > length, mix((total[cut] - total[s]) * inverse[s] + np.uint64(length + (1 << 20))), np.uint64(0)))
         starts.append(s + a)
         ends.append(e + a)
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
+    for i, found in enumerate(begun):
+        heads[i] = (heads[i][0], np.concatenate(found))
     start = np.concatenate(starts)
     return np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offsets)
 
