@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import bpe, decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, ngram_jaccard, pii, quality, sql, toxicity
+from chorus.llm import decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, ngram_jaccard, pii, quality, sql, stages, toxicity
 from chorus.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,16 +57,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_documents(spark, sf_dir))
 
 
-def bpe_round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) under the public multilingual ranks."""
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
 @register("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(_documents(spark, sf_dir))
+    return stages.tokens_of(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @register("op8_decontamination", sql.DECONTAMINATION)
