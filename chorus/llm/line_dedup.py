@@ -205,7 +205,7 @@ def _with_filters(postings: DataFrame, shards: int) -> LineIndex:
 
 def _updated(index: LineIndex, postings: DataFrame, touched: DataFrame) -> LineIndex:
     """The index with new postings, where only the touched keys have changed."""
-    postings = stored(postings, "line-postings")
+    postings = stored(postings.select(*_KEY, "doc_id"), "line-postings")
     keys = stored(touched.select(*_KEY).distinct(), "line-touched")
     after = _counted(postings.join(keys, _KEY, "left_semi"))
     counts = stored(index.counts.join(keys, _KEY, "left_anti").unionByName(after), "line-counts")
