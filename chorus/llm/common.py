@@ -49,14 +49,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chorus-llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+_stored: list[str] = []
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends there,
     so a lost executor costs no recomputation of what came before."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if not lasting:
+        _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that stored() has written so far and not marked lasting:
+    for callers that have written all results which read them."""
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # Packed arrays: byte planes under zstd, for sorted keys as differences.
 
 def _planes(values: np.ndarray) -> bytes:
