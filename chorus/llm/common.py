@@ -70,6 +70,11 @@ def drop_stored(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_stored() -> None:
+    """Leave the tables stored so far alone: drop_stored() deletes later ones only."""
+    _stored.clear()
+
+
 # Packed arrays: byte planes under zstd, for sorted keys as differences.
 
 def _planes(values: np.ndarray) -> bytes:
