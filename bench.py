@@ -1,6 +1,6 @@
 """Benchmark the registered queries.
 
-Runs every query of ``__spark_entry__.queries()`` over ``$BENCH_SF_DIR``
+Runs every query of the feedback catalog (``chorus.plans.catalog``) over ``$BENCH_SF_DIR``
 (default /root/testdata/sf0.1) on ``local[$BENCH_CPUS]`` (default 8) and
 prints ONE JSON line:
 
@@ -48,8 +48,8 @@ def main() -> None:
     from chorus.session import get_session
     spark = get_session("chorus-bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
 
-    import __spark_entry__ as E
-    queries = E.queries()
+    from chorus.plans import catalog
+    queries = dict(catalog.QUERIES)
     names = [n for n in sorted(queries) if not only or any(o in n for o in only)]
 
     # warm-up: JVM, JIT, parquet footers; a join report, a text-heavy and a

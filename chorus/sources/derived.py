@@ -43,32 +43,9 @@ def _severity(event_type: Column, alert_id: Column) -> Column:
     return F.when(event_type.isin("error", "view"), sev)
 
 
-def _narrow_inputs(spark: SparkSession, *dfs: DataFrame) -> int:
-    """The cluster's parallelism when every input scan is narrower than it,
-    else 0. Needs the classic API (partition counts); 0 where unavailable."""
-    try:
-        parallelism = spark.sparkContext.defaultParallelism
-        widest = max(df.rdd.getNumPartitions() for df in dfs)
-    except Exception:  # e.g. a Spark Connect session
-        return 0
-    return parallelism if widest < parallelism else 0
-
-
-# Document counts by (path, modification time, length) of the documents
-# table: the count is a property of one version of an immutable input, so it
-# is read once (a metadata-only count) instead of once per query.
-_DOC_COUNTS: dict[tuple[str, int, int], int] = {}
-
-
-def _document_count(spark: SparkSession, sf_dir: str, documents: DataFrame) -> Column:
-    """``count(*)`` of the documents table as a literal when its file version
-    is known (counted once per version), else as a lazy scalar subquery."""
-    version = file_version(spark, table_path(sf_dir, "documents"))
-    if version is None:
-        return documents.select(F.count(F.lit(1))).scalar()
-    if version not in _DOC_COUNTS:
-        _DOC_COUNTS[version] = documents.count()
-    return F.lit(_DOC_COUNTS[version])
+def _document_count(documents: DataFrame) -> Column:
+    """``count(*)`` of the documents table, as a scalar subquery of the query's own plan."""
+    return documents.select(F.count(F.lit(1))).scalar()
 
 
 def _event_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
@@ -76,21 +53,14 @@ def _event_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     ``n`` = document count)."""
     events = read_table(spark, sf_dir, "events")
     documents = read_table(spark, sf_dir, "documents")
-    return events, documents, (F.col("event_id") % _document_count(spark, sf_dir, documents))
+    return events, documents, (F.col("event_id") % _document_count(documents))
 
 
-def _join_documents(spark: SparkSession, events: DataFrame, documents: DataFrame,
-                    e: DataFrame, d: DataFrame) -> DataFrame:
+def _join_documents(e: DataFrame, d: DataFrame) -> DataFrame:
     """``e`` ⋈ ``d`` on ``doc_key``. Each event fans out into a document's
-    text; when both scans are narrower than the cluster (small files), both
-    inputs are first spread on the join key so the join and the text work
-    downstream use every core. Cluster-sized inputs are already wide: no
-    shuffle is added."""
-    narrow = _narrow_inputs(spark, events, documents)
-    if narrow:
-        e = e.repartition(narrow, "doc_key")
-        d = d.repartition(narrow, "doc_key")
-    return e.join(d, "doc_key")
+    text, so both sides are dealt by the key: the exchange that a join of two
+    large tables needs anyway, whatever the inputs' size or number of files."""
+    return e.repartition("doc_key").join(d.repartition("doc_key"), "doc_key")
 
 
 # Derived tables are lazy definitions, like views: each is defined once per
@@ -135,7 +105,7 @@ def raw_message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid = F.col("event_id")
     eid_s = eid.cast("string")
     uid_s = F.col("user_id").cast("string")
-    joined = _join_documents(spark, events, documents, e, d)
+    joined = _join_documents(e, d)
     return joined.select(
         eid.alias("id"),
         eid_s.alias("message_id"),
@@ -160,9 +130,6 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "content", "timestamp", "message_url", F.col("timestamp").alias("created_at"))
 
 
-SUMMARY_CHARS = 80
-
-
 @_defined_once
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored ``alerts`` table: one alert per non-click message, and a
@@ -195,12 +162,11 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (ts + F.expr("INTERVAL 1 MINUTE")).alias("timestamp"),
         doc_key.alias("doc_key"),
     )
-    d = documents.select(F.col("doc_id").alias("doc_key"),
-                         F.substring(F.col("text"), 1, SUMMARY_CHARS).alias("head"))
-    joined = _join_documents(spark, events, documents, first.unionByName(second), d)
+    d = documents.select(F.col("doc_id").alias("doc_key"), F.translate("text", "\n", " ").alias("line"))
+    joined = _join_documents(first.unionByName(second), d)
     return joined.select(
         "id", eid.cast("string").alias("message_id"), "category", "severity",
-        F.substring(_content(eid, F.col("head")), 1, SUMMARY_CHARS).alias("summary"),
+        _content(eid, F.col("line")).alias("summary"),
         "recommendation", "timestamp", F.col("timestamp").alias("created_at"))
 
 
@@ -268,12 +234,12 @@ WITH e0 AS (
                     WHEN 'view' THEN 'complaint' ELSE 'documentation' END AS category,
     CASE WHEN event_type IN ('error','view') THEN CASE id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high'
          WHEN 2 THEN 'medium' WHEN 3 THEN 'low' END END AS severity,
-    substr(content, 1, 80) AS summary, 'Review ' || event_type AS recommendation, timestamp,
+    replace(content, chr(10), ' ') AS summary, 'Review ' || event_type AS recommendation, timestamp,
     timestamp AS created_at
   FROM raw_msg WHERE event_type <> 'click'
   UNION ALL
   SELECT id + {SECOND_ALERT_OFFSET} AS id, message_id, 'complaint' AS category, 'high' AS severity,
-    substr(content, 1, 80) AS summary, 'Second look' AS recommendation,
+    replace(content, chr(10), ' ') AS summary, 'Second look' AS recommendation,
     timestamp + INTERVAL 1 MINUTE AS timestamp, timestamp + INTERVAL 1 MINUTE AS created_at
   FROM raw_msg WHERE event_type <> 'click' AND id % 10 = 0
 ), msgs AS (

@@ -30,11 +30,11 @@ def test_alert_lookback_reaches_event_scan(spark):
     assert all("ts#" in ln.split("DataFilters:")[1].split("Format:")[0] for ln in scans), scans
 
 
-def test_alert_summary_head_cut_at_document_scan(spark):
-    # Only the first 80 characters of a document are shuffled for alerts.
-    plan = _plan(dv.alerts(spark, SF).select("id", "summary"))
-    assert "substring(text#" in plan
-    assert _scan_lines(plan, "documents")
+def test_alert_summary_is_the_whole_message_on_one_line(spark):
+    a, m = dv.alerts(spark, SF), dv.messages(spark, SF)
+    joined = a.join(m, "message_id").select("summary", F.translate("content", "\n", " ").alias("line"))
+    assert joined.filter("summary <> line").count() == 0
+    assert joined.agg(F.max(F.length("summary"))).first()[0] > 500
 
 
 def test_message_scan_prunes_text_when_unused(spark):
@@ -56,7 +56,7 @@ def test_scan_and_count_reused_per_file_version(spark, scratch):
     _write_single_file(path, 5)
     a = read_table(spark, d, "documents")
     assert read_table(spark, d, "documents") is a
-    n = dv._document_count(spark, d, a)
+    n = dv._document_count(a)
     assert spark.range(1).select(n.alias("n")).first()["n"] == 5
 
     # A new version of the file gets a new scan and a new count.
@@ -65,7 +65,7 @@ def test_scan_and_count_reused_per_file_version(spark, scratch):
     b = read_table(spark, d, "documents")
     assert b is not a
     assert b.count() == 7
-    n2 = dv._document_count(spark, d, b)
+    n2 = dv._document_count(b)
     assert spark.range(1).select(n2.alias("n")).first()["n"] == 7
 
 
@@ -87,14 +87,14 @@ def test_directory_tables_are_never_reused(spark, scratch):
 def test_stored_date_bounds_prune_alert_partitions(spark, scratch):
     # Over tables stored by UTC date, the search's date range (Q5) and the
     # duplicate candidates' look-back (Q8) also bound the dt partition.
-    import __spark_entry__ as E
+    from chorus.plans import catalog
     from chorus.plans import catalog
     from chorus.sources import stored
     stored.write_feedback_tables(spark, SF, os.path.join(scratch, "store"))
     catalog.STORE_ROOT = os.path.join(scratch, "store")
     try:
         for name in ("q05_search_alerts_filters", "q08_duplicate_bugs"):
-            df = E.queries()[name](spark, SF)
+            df = catalog.QUERIES[name](spark, SF)
             scans = [ln for ln in _plan(df).splitlines()
                      if "FileScan parquet" in ln and "/store/alerts" in ln]
             assert scans, name
@@ -108,10 +108,10 @@ def test_no_query_plans_pairs_or_python(spark):
     # Scale guards over every registered query: no cartesian product or
     # nested-loop join (all pairs), and no Python stage on the default path
     # (the native keyword model; Python runs only for a user-supplied model).
-    import __spark_entry__ as E
+    from chorus.plans import catalog
     banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
               "MapInPandas")
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(catalog.QUERIES.items()):
         plan = _plan(fn(spark, SF))
         assert not [b for b in banned if b in plan], name
 
