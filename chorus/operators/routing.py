@@ -21,11 +21,11 @@ def alert_rows(analysed: DataFrame, as_of=None) -> DataFrame:
     """Q13 step 1: analysed messages that require an alert become alert rows
     (``severity || null``; timestamp = the alert's creation time).
 
-    Rows violating NOT NULL on category / summary are left out here and
+    Rows violating NOT NULL on message_id / category / summary are left out here and
     returned by :func:`quarantine_rows`.
     """
     ok = (F.col("requires_alert") & (F.col("parse_status") == "ok")
-          & F.col("category").isNotNull() & F.col("summary").isNotNull())
+          & F.col("message_id").isNotNull() & F.col("category").isNotNull() & F.col("summary").isNotNull())
     # A stored message's date partition travels with its alert (joins.DATE_LINK).
     link = [F.col("dt").alias("message_dt")] if "dt" in analysed.columns else []
     return analysed.filter(ok).select(
@@ -38,9 +38,11 @@ def alert_rows(analysed: DataFrame, as_of=None) -> DataFrame:
 
 
 def quarantine_rows(analysed: DataFrame) -> DataFrame:
-    """Messages whose analysis could not be stored: bad JSON, or an alert
+    """Messages whose analysis could not be stored: bad JSON, a model error, or an alert
     missing a NOT NULL column. ``reason`` says which."""
     reason = (F.when(F.col("parse_status") == "bad_json", F.lit("bad_json"))
+              .when(F.col("parse_status") == "model_error", F.lit("model_error"))
+              .when(F.col("requires_alert") & F.col("message_id").isNull(), F.lit("message_id_null"))
               .when(F.col("requires_alert") & F.col("category").isNull(), F.lit("category_null"))
               .when(F.col("requires_alert") & F.col("summary").isNull(), F.lit("summary_null")))
     return analysed.withColumn("reason", reason).filter(F.col("reason").isNotNull())

@@ -244,7 +244,7 @@ SERVER = dv.MONITOR_GUILD
 MONITORED = ["SRC1", "src3"]
 INGEST_CUTOFF = "2024-01-15 00:00:00"
 PM_ID = "product-owner"
-RELEVANT_SQL = r"""author_id NOT IN ('7', '9') AND length(content) >= 5 AND NOT author_bot
+RELEVANT_SQL = r"""author_id NOT IN ('7', '9') AND length(content) + length(regexp_replace(content, '[^\x{10000}-\x{10FFFF}]', '', 'g')) >= 5 AND NOT author_bot
   AND regexp_matches(regexp_replace(content, 'https?://\S+', '', 'g'), '\S')"""
 
 

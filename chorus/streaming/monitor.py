@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chorus.operators.payload import route_external
+from chorus.operators.sinks import is_missing
 from chorus.schemas import BUG_REPORTS, FEATURE_SUGGESTIONS, OWN_ENTRY_PREFIX, POLL_INTERVAL
 
 TITLE_COLUMN = {"bug": "subject", "feature": "title"}
@@ -56,15 +58,17 @@ def _stored_mark(spark: SparkSession, table_path: str, mark_path: str, skip_exis
     Written with Spark so it lives on the same shared file system as the
     checkpoint."""
     try:
-        return int(spark.read.json(mark_path).first()["mark"])
-    except Exception:  # first start: no mark stored yet
-        pass
+        return int(spark.read.schema("mark long").json(mark_path).first()["mark"])
+    except AnalysisException as error:  # first start: no mark stored yet
+        if not is_missing(error):
+            raise
     mark = 0
     if skip_existing:
         try:
             mark = int(spark.read.parquet(table_path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
-        except Exception:  # table not created yet
-            mark = 0
+        except AnalysisException as error:  # table not created yet
+            if not is_missing(error):
+                raise
     spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").json(mark_path)
     return mark
 
