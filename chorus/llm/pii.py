@@ -11,8 +11,8 @@ character the source span it stands for:
    address, become @ and a full stop.
 
 The same patterns run over the result and each match is mapped back to source
-characters; a match whose source overlaps a base span of its kind is left out,
-so base spans stay as they are.
+characters.  Base spans stay as they are; a match is added unless it overlaps a
+base span of its kind without holding more than the whole of it.
 
 Texts without a digit, @ or disguise go no further than one scan.  Null counts
 as empty: no spans.  Rows are independent, so repeated rows give equal results.
@@ -89,7 +89,7 @@ _AT = rf"(?:{_OPEN}(?:at|@|ät|arroba|arobase){_CLOSE}|[ \t]+(?:at|arroba|arobas
 _DOT = rf"(?:{_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}|[ \t]+(?:dot|punkt|point|punto)[ \t]+|\.|[ _-]+DOT[ _-]+)"
 _ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9_%+-])(?P<user>[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,8}}){_AT}(?P<host>[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}})")
 _PLAIN_AT = re.compile(r"(?i)[ \t]+(?:at|arroba|arobase)[ \t]+")
-# Last labels that make "name at host.tld" an address though only its @ is spelled.
+# Last labels that make words around a plain "at" an address.
 _TOP_LABELS = frozenset("com org net edu gov mil int info biz io co ai app dev me eu uk de fr es it nl be at ch us ca au in jp cn ru br mx se no dk fi pl pt ie nz".split())
 _DOT_IN = re.compile(f"(?i){_DOT}")
 _NUMBERS = re.compile(rf"(?i)(?<!\d)\d+(?:{_DOT}\d+){{3}}")
@@ -212,8 +212,8 @@ def _plain_digits(tape: _Tape) -> Iterator[tuple[int, int, str]]:
 
 def _plain_marks(tape: _Tape) -> Iterator[tuple[int, int, str]]:
     for m in _ADDRESS.finditer(tape.text):
-        host = m["host"]
-        if _PLAIN_AT.fullmatch(tape.text, m.end("user"), m.start("host")) and re.fullmatch(r"[A-Za-z0-9.-]+", host) and host.rpartition(".")[2].lower() not in _TOP_LABELS:
+        host = m["host"]  # a plain "at" is a word first: then the last label has to be a known one
+        if _PLAIN_AT.fullmatch(tape.text, m.end("user"), m.start("host")) and _DOT_IN.split(host)[-1].lower() not in _TOP_LABELS:
             continue
         dots = [(d.start(), d.end(), ".") for part in ("user", "host") for d in _DOT_IN.finditer(tape.text, m.start(part), m.end(part))]
         yield from sorted([*dots, (m.end("user"), m.start("host"), "@")])
@@ -233,7 +233,9 @@ def _hidden_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
             found += [(kind, tape.starts[a], tape.ends[b - 1]) for kind, a, b in base_spans(tape.text)]
     out: list[tuple[str, int, int]] = []
     for span in sorted(set(found), key=lambda s: (s[0], s[1], -s[2])):
-        if not any(k == span[0] and s < span[2] and span[1] < e for k, s, e in [*base, *out]):
+        meets = [(s, e) for k, s, e in base if k == span[0] and s < span[2] and span[1] < e]
+        wider = all(span[1] <= s and e <= span[2] and (s, e) != span[1:] for s, e in meets)
+        if wider and not any(k == span[0] and s < span[2] and span[1] < e for k, s, e in out):
             out.append(span)
     return out
 

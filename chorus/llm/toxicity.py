@@ -17,7 +17,7 @@
    use the lexicon of all learning texts.
 
 Null texts count as empty and are scored.  Several labels of one document: the
-largest counts.  Without both kinds of labels, the score is 0 everywhere.  Rows
+largest counts.  Without both kinds of labels, or without learning texts, the score is 0 everywhere.  Rows
 are independent, so repeated rows get equal scores.
 """
 
@@ -239,6 +239,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", le
         terms, tier = learn_lexicon(texts(docs).join(known.filter(~third), "doc_id"), others)
     train = stored(texts(docs).filter(learns & third).mapInArrow(_votes(terms, tier), schema).join(known, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1))), "toxicity-train")
     seen = train.groupBy("pattern", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern", "label").collect()
+    if not seen:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
     bits = np.array([[r["pattern"] >> k & 1 for k in range(VOTERS)] for r in seen], float)
     post = label_model(bits, np.array([r["label"] for r in seen]), np.array([r["n"] for r in seen], float))
     target = docs.sparkSession.createDataFrame([(r["pattern"], r["label"], float(p)) for r, p in zip(seen, post, strict=True)], "pattern long, label int, target double")
