@@ -19,8 +19,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 1,000 texts between Spark and Python, where the session still
+    has the default of 10,000: their buffers are what executors hold per task."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string): null texts become empty, other columns go."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -125,7 +136,7 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def slice_rows(b: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:
+def slice_rows(b: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterable[pa.RecordBatch]:
     """Parts of a batch with about most_bytes of text each, one row at least."""
     from chorus.llm.tokens import slices
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import stored, texts
+from chorus.llm.common import small_batches, stored, texts
 
 MIN_CHARS = 10
 SHARDS = 64
@@ -275,6 +275,7 @@ def _kept_lines(min_chars: int):
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, index: LineIndex | None = None) -> DataFrame:
     """Every row of docs as (doc struct, kept_text, n_lines, n_dropped)."""
+    small_batches(docs.sparkSession)
     index = index or build_index(docs, min_chars)
     lost = drops(index).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct(*_KEY)).alias("_drops"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("_id", F.col("doc.doc_id").cast("long")).join(lost, "_id", "left")
