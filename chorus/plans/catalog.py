@@ -373,7 +373,6 @@ from chorus.streaming import monitor as mo  # noqa: E402
 
 MONITOR_START = "2024-01-15 00:00:00"
 from chorus.schemas import ISSUE_BODY_FORMAT  # noqa: E402
-NEW_BUG_SUMMARY = "Is and retitioning ouen the of, nterti thorreou ndernt."
 
 
 def _alerts_with_messages(spark, sf_dir):
@@ -400,8 +399,7 @@ EMOJI_SQL = """CASE category WHEN 'bug' THEN '🐛' WHEN 'feature_request' THEN
   FROM alerts_t a JOIN msgs m ON a.message_id = m.message_id
   WHERE a.category = 'bug' AND a.timestamp > {T_AS_OF} - INTERVAL 30 DAY
 ), q AS (
-  SELECT list_distinct(list_filter(regexp_split_to_array(lower({_q(NEW_BUG_SUMMARY)}), '\\W+'),
-                                   lambda t: t <> '')) AS qk
+  SELECT arg_min(tk, id) AS qk FROM cand
 ), s AS (
   SELECT id, summary,
          CAST(len(list_intersect(tk, qk)) AS DOUBLE) / CAST(len(list_distinct(list_concat(tk, qk))) AS DOUBLE)
@@ -413,7 +411,8 @@ SELECT id, summary, score FROM s WHERE score >= 0.3
 def q08_duplicate_bugs(spark, sf_dir):
     a, m = _tables(spark, sf_dir)
     cand = du.bug_candidates(a, m, days=30, as_of=AS_OF)
-    return du.duplicate_bugs(cand, NEW_BUG_SUMMARY, 0.3).select("id", "summary", "score")
+    new = cand.agg(F.min_by("summary", "id")).first()[0] or ""  # the oldest candidate stands for a new report
+    return du.duplicate_bugs(cand, new, 0.3).select("id", "summary", "score")
 
 
 @register("q14_route_alerts", f"""
