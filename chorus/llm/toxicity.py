@@ -1,10 +1,12 @@
 """Toxicity by weak supervision (operator 9).
 
-1. Lexicon: words and word beginnings (of 4 to 8 bytes) of the toxic learning
-   texts, counted by the number of *different words before them*, so a passage
-   that many copies share counts once; those that clean learning texts hardly
-   hold are kept, the strongest ``LEXICON`` of them (a documented bound of the
-   fit; all learning texts are counted).
+1. Lexicon: every word and word beginning (of 4 to 8 bytes) that a share of the
+   toxic learning texts holds; all of them are stored by range of hash, and the
+   clean texts that hold them and the *different words before them* are counted
+   in a second pass.  Terms with few different words before them (a passage that
+   many copies share) or that clean texts hold too are left out; of the others the
+   strongest ``LEXICON`` are kept (a documented bound of the fit; all learning
+   texts and terms are counted).
 2. Voters: the lexicon in tiers by support and purity, its terms behind digits and
    signs that stand for letters, and patterns (shouting, runs of exclamation
    marks, a second person).  A voter votes toxic or abstains.
@@ -31,15 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus.llm import tokens
-from chorus.llm.common import pack, slice_rows, stored, texts, unpack
+from chorus.llm.common import get_array, merge_counts, new_folder, pack, put_array, slice_rows, stored, texts, unpack
 
 LEXICON = 2000
-CANDIDATES = 20_000
 LEAST_CONTEXTS = 3
 LEAST_SHARE = 0.004
 LEAST_RATIO = 20.0
 HEADS = (4, 5, 6, 7, 8)
 SHARDS = 64
+FLUSH = 1_500_000
 STEPS = 12
 RIDGE = 1.0
 _KINDS = 1 + len(HEADS)
@@ -70,73 +72,130 @@ def _terms(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.stack([h, *(x for _, x in heads)], axis=1) if len(h) else np.empty((0, _KINDS), np.uint64), of, first, previous
 
 
-def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Toxic texts: distinct (term, word before), packed by shard of the term."""
-    held: list[np.ndarray] = []
+def _by_shard(keys: np.ndarray, cut: np.ndarray, *columns: np.ndarray) -> dict[int, bytes]:
+    """Sorted keys with columns, packed by shard; cut: where the shards' keys begin and the last one's end."""
+    return {int(s): pack(keys[cut[s] : cut[s + 1]], *(c[cut[s] : cut[s + 1]] for c in columns)) for s in np.flatnonzero(np.diff(cut))}
+
+
+def _text_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts hold each term, packed by shard of the term."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        k, c = merge_counts(keys, counts)
+        found = _by_shard(k, np.searchsorted(k >> np.uint64(58), np.arange(SHARDS + 1, dtype=np.uint64)), c)
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.binary())], names=["shard", "entries"])
+
     for b in (part for whole in batches for part in slice_rows(whole)):
-        terms, _, _, previous = _terms(b.column("text"))
-        for k in range(_KINDS):
-            has = terms[:, k] != 0
-            held.append(np.unique(np.stack([terms[has, k], (previous[has] << np.uint64(8)) | np.uint64(k)], axis=1), axis=0))
+        terms, of, _, _ = _terms(b.column("text"))
+        has = terms.ravel() != 0
+        flat, text = terms.ravel()[has], np.repeat(of, _KINDS)[has]
+        order = np.argsort(flat, kind="stable")  # texts ascend within a term
+        flat, text = flat[order], text[order]
+        once = np.r_[True, (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])][: len(flat)]
+        k, c = np.unique(flat[once], return_counts=True)
+        keys.append(k)
+        counts.append(c)
+        held += len(k)
+        if held > FLUSH:
+            yield flush()
+            keys, counts, held = [], [], 0
     if held:
-        pairs = np.unique(np.concatenate(held), axis=0)
-        cut = np.searchsorted(pairs[:, 0] >> np.uint64(58), np.arange(SHARDS + 1, dtype=np.uint64))
-        used = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pack(pairs[cut[s] : cut[s + 1], 0], pairs[cut[s] : cut[s + 1], 1].view(np.int64)) for s in used], pa.binary())], names=["shard", "entries"])
+        yield flush()
+
 
+def _frequent(folder: str, least: float):
+    """Store a shard's terms that at least so many texts hold, with the numbers of those texts."""
 
-def _diverse(t: pa.Table) -> pa.Table:
-    """(term, kind, contexts) of a shard's terms with enough different words before them."""
-    parts = [unpack(x.as_py()) for x in t.column("entries")]
-    pairs = np.unique(np.concatenate([np.stack([p[0], p[1].view(np.uint64)], axis=1) for p in parts]), axis=0)
-    key = np.stack([pairs[:, 0], pairs[:, 1] & np.uint64(0xFF)], axis=1)
-    found, n = np.unique(key, axis=0, return_counts=True)
-    keep = n >= LEAST_CONTEXTS
-    return pa.table({"term": pa.array(found[keep, 0].view(np.int64)), "kind": pa.array(found[keep, 1].astype(np.int32)), "contexts": pa.array(n[keep], pa.int64())})
+    def run(t: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py()) for x in t.column("entries")]
+        k, c = merge_counts([p[0] for p in parts], [p[1] for p in parts])
+        keep = c >= least
+        return pa.table({"shard": t.column("shard")[:1], "n": [int(keep.sum())], "terms": [put_array(folder, "terms", k[keep])], "texts": [put_array(folder, "texts", c[keep])]})
 
+    return run
 
-def _holding(candidates: np.ndarray):
-    """How many texts hold each candidate, by label."""
+
+def _evidence(folder: str, files: list[dict]):
+    """For the stored terms, by place among all of them and packed by shard: the distinct
+    words before them in toxic texts, and the number of clean texts that hold them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {0: np.zeros(len(candidates), np.int64), 1: np.zeros(len(candidates), np.int64)}
+        stored_terms = np.concatenate([get_array(folder, f["terms"], np.uint64) for f in files if f["n"]])
+        base = np.r_[0, np.cumsum([f["n"] for f in files])]
+        clean = np.zeros(len(stored_terms), np.int64)
+        before: list[np.ndarray] = []
         for b in (part for whole in batches for part in slice_rows(whole)):
-            terms, of, _, _ = _terms(b.column("text"))
-            label = b.column("label").to_numpy()
-            at = np.minimum(np.searchsorted(candidates, terms.ravel()), len(candidates) - 1)
-            hit = candidates[at] == terms.ravel()
-            pairs = np.unique(np.repeat(of, _KINDS)[hit] * len(candidates) + at[hit])
-            for y in total:
-                mine = pairs[label[pairs // len(candidates)] == y]
-                total[y] += np.bincount(mine % len(candidates), minlength=len(candidates))
-        for y, n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(candidates[some].view(np.int64)), pa.array(np.full(len(some), y, np.int32)), pa.array(n[some])], names=["term", "label", "texts"])
+            terms, of, _, previous = _terms(b.column("text"))
+            toxic = b.column("label").to_numpy() == 1
+            at = np.minimum(np.searchsorted(stored_terms, terms.ravel()), len(stored_terms) - 1)
+            hit = np.flatnonzero(stored_terms[at] == terms.ravel())
+            at, word = at[hit], hit // _KINDS
+            mine = toxic[of[word]]
+            pairs = np.unique(of[word[~mine]] * len(stored_terms) + at[~mine])
+            clean += np.bincount(pairs % len(stored_terms), minlength=len(stored_terms))
+            before.append(_distinct(at[mine], previous[word[mine]]))
+        if not before:
+            return
+        pairs = _distinct(*np.concatenate(before).T)
+        contexts = _by_shard(pairs[:, 0], np.searchsorted(pairs[:, 0], base.astype(np.uint64)), pairs[:, 1].view(np.int64))
+        some = np.flatnonzero(clean)
+        texts_of = _by_shard(some, np.searchsorted(some, base), clean[some])
+        shards = sorted({*contexts, *texts_of})
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([contexts.get(s) for s in shards], pa.binary()), pa.array([texts_of.get(s) for s in shards], pa.binary())], names=["shard", "contexts", "clean"])
+
+    return run
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sorted distinct rows (a, b)."""
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    return np.stack([a[once], b[once]], axis=1)
+
+
+def _rated(folder: str, files: list[dict], labelled: dict[int, int]):
+    """A shard's terms that the toxic texts hold far more often than the clean ones."""
+
+    def run(t: pa.Table) -> pa.Table:
+        s = t.column("shard")[0].as_py()
+        base = sum(f["n"] for f in files[:s])
+        terms, toxic = get_array(folder, files[s]["terms"], np.uint64), get_array(folder, files[s]["texts"], np.int64)
+        contexts, clean = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+        parts = [unpack(x.as_py()) for x in t.column("contexts") if x.is_valid]
+        if parts:
+            pairs = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].view(np.uint64) for p in parts]))
+            contexts = np.bincount(pairs[:, 0].astype(np.int64) - base, minlength=len(terms))
+        for x in t.column("clean"):
+            if x.is_valid:
+                at, n = unpack(x.as_py())
+                clean[at.astype(np.int64) - base] += n
+        ratio = ((toxic + 0.5) / (labelled[1] + 1)) / ((clean + 0.5) / (labelled[0] + 1))
+        keep = (contexts >= LEAST_CONTEXTS) & (ratio >= LEAST_RATIO)
+        tier = 2 * sum((toxic < share * labelled[1]).astype(int) for share in _SUPPORT) + (clean > 0)
+        value = np.minimum(contexts, toxic) * np.log(ratio)
+        return pa.table({"term": pa.array(terms[keep].view(np.int64)), "tier": pa.array(tier[keep].astype(np.int32)), "value": pa.array(value[keep])})
 
     return run
 
 
 def learn_lexicon(train: DataFrame, labelled: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """(terms, tier): sorted term hashes.  train: (doc_id, text, label)."""
-    toxic = train.filter("label = 1").select("text")
-    found = toxic.mapInArrow(_contexts, "shard int, entries binary").groupBy("shard").applyInArrow(_diverse, "term long, kind int, contexts long")
-    top = found.orderBy(F.desc("contexts"), "term").limit(CANDIDATES).collect()
-    if not top:
+    folder = new_folder(train.sparkSession, "toxicity-lexicon")
+    least = max(LEAST_CONTEXTS, LEAST_SHARE * labelled[1])
+    found = train.filter("label = 1").select("text").mapInArrow(_text_counts, "shard int, entries binary").groupBy("shard").applyInArrow(_frequent(folder, least), "shard int, n long, terms string, texts string").collect()
+    by_shard = {r["shard"]: r.asDict() for r in found if r["n"]}
+    if not by_shard:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    candidates = np.sort(np.array([r["term"] for r in top], np.int64).view(np.uint64))
-    contexts = {r["term"]: r["contexts"] for r in top}
-    held = train.filter("label is not null").select("text", "label").mapInArrow(_holding(candidates), "term long, label int, texts long").groupBy("term").pivot("label", [0, 1]).agg(F.sum("texts")).collect()
-    rated = []
-    for r in held:
-        clean, toxic_texts = r["0"] or 0, r["1"] or 0
-        support = min(contexts[r["term"]], toxic_texts)
-        ratio = ((support + 0.5) / (labelled[1] + 1)) / ((clean + 0.5) / (labelled[0] + 1))
-        if support >= max(LEAST_CONTEXTS, LEAST_SHARE * labelled[1]) and ratio >= LEAST_RATIO:
-            tier = sum(support < share * labelled[1] for share in _SUPPORT)
-            rated.append((support * np.log(ratio), r["term"], 2 * tier + (clean > 0)))
-    rated = sorted(rated, reverse=True)[:LEXICON]
-    terms = np.array([t for _, t, _ in rated], np.int64).view(np.uint64)
-    tier = np.array([k for _, _, k in rated], np.int64)
+    files = [by_shard.get(s, {"n": 0}) for s in range(SHARDS)]
+    evidence = train.filter("label is not null").select("text", "label").mapInArrow(_evidence(folder, files), "shard int, contexts binary, clean binary")
+    rated = evidence.groupBy("shard").applyInArrow(_rated(folder, files, labelled), "term long, tier int, value double").orderBy(F.desc("value"), F.desc("term")).limit(LEXICON).collect()
+    terms = np.array([r["term"] for r in rated], np.int64).view(np.uint64)
+    tier = np.array([r["tier"] for r in rated], np.int64)
     order = np.argsort(terms)
     return terms[order], tier[order]
 

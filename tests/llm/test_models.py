@@ -159,6 +159,31 @@ def test_toxicity(spark, documents):
     assert toxicity.toxicity_scores(documents([]), labels).count() == 0
 
 
+def hash_of(word):
+    return toxicity.tokens.words(*toxicity.tokens.string_bytes(toxicity.pa.array([word])), toxicity.tokens.NOT_ALNUM)[0][0]
+
+
+def test_lexicon_keeps_rare_terms_among_many_common_ones(documents):
+    rng = random.Random(7)
+    plain = ["".join(rng.choice("abcdefghijklmnopqrstuvwxy") for _ in range(9)) for _ in range(4500)]
+    rows = []
+    for i in range(80):  # over 20,000 neutral words and heads with more different words before them
+        w = [rng.choice(plain) for _ in range(3000)]
+        if i < 20:
+            w += [plain[i % 4], "zug"]
+        rows.append((i, " ".join(w)))
+    train = documents(rows).withColumn("label", (F.col("doc_id") < 40).cast("int"))
+    terms, _ = toxicity.learn_lexicon(train, {0: 40, 1: 40})
+    assert hash_of("zug") in terms
+
+
+def test_lexicon_shares_are_of_texts(documents):
+    rows = [(i, f"{'abc'[i % 3]} zug") for i in range(1500)] + [(i, "a b c") for i in range(1500, 3000)]
+    train = documents(rows).withColumn("label", (F.col("doc_id") < 1500).cast("int"))
+    terms, tier = toxicity.learn_lexicon(train, {0: 1500, 1: 1500})
+    assert terms.tolist() == [hash_of("zug")] and tier.tolist() == [0]
+
+
 def test_label_model_finds_the_better_voter():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.3
