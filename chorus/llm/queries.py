@@ -74,7 +74,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op2_lm_scoring")
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = kneser_ney.language_model_scores(_documents(spark, sf_dir), fold(10) != 0)
+    out = kneser_ney.language_model_scores(_documents(spark, sf_dir), fold(10) != 0, order=3)
     return out.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

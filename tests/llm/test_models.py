@@ -70,6 +70,48 @@ def test_scores(documents, monkeypatch, small_shards):
         assert tuple(r)[4:] == pytest.approx(want[r["doc_id"]][3:], rel=1e-9)
 
 
+def brute_scores_of_order_3(rows, learns):
+    tok = [(i, ["<s>"] + (t or "").encode().lower().split() + [None]) for i, t in rows]
+    train = [x for i, x in tok if learns(i)]
+    raw = Counter(p for x in train for p in zip(x, x[1:], strict=False))
+    triples = Counter(p for x in train for p in zip(x, x[1:], x[2:], strict=False))
+    pairs = Counter((v, w) for _, v, w in triples) + Counter({p: c for p, c in raw.items() if p[0] == "<s>"})
+    before = Counter(w for _, w in raw)
+
+    def discounts(c):
+        n = [max(1, sum(1 for x in c.values() if x == k)) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0.0, *(min(k - 0.05, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))]
+
+    def level(counts):
+        d, total, rest = discounts(counts), Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            rest[g[:-1]] += d[min(c, 3)]
+        return lambda g, p: (counts[g] - d[min(counts[g], 3)] + rest[g[:-1]] * p) / total[g[:-1]] if total[g[:-1]] else p
+
+    one, two, three = level(Counter({(w,): c for w, c in before.items()})), level(pairs), level(triples)
+
+    def p(x, i):
+        out = two((x[i - 1], x[i]), one((x[i],), 1 / (len(before) + 1)))
+        return three((x[i - 2], x[i - 1], x[i]), out) if i > 1 else out
+
+    return {i: sum(math.log10(p(x, k)) for k in range(1, len(x))) for i, x in tok}
+
+
+@pytest.mark.parametrize("small_shards", [False, True])
+def test_scores_of_order_3(documents, monkeypatch, small_shards):
+    rng = random.Random(3)
+    texts = ODD + [" ".join(rng.choice(["the", "cat", "sat", f"w{rng.randrange(30)}", f"r{rng.random()}"]) for _ in range(rng.randrange(60))) for _ in range(60)] + ["tick tock " * 200] * 3
+    if small_shards:  # frequent pairs' triples lie in several shards
+        monkeypatch.setattr(kneser_ney, "PER_SHARD", 40)
+    rows = list(enumerate(texts))
+    got = kneser_ney.language_model_scores(documents(rows), F.col("doc_id") % 5 != 0, order=3).collect()
+    want = brute_scores_of_order_3(rows, lambda i: i % 5 != 0)
+    assert len(got) == len(rows)
+    assert [r["score"] for r in got] == pytest.approx([want[r["doc_id"]] for r in got], rel=1e-9)
+
+
 def test_scores_without_training_texts(documents):
     got = kneser_ney.language_model_scores(documents(["a b"]), F.lit(False)).collect()
     assert (got[0]["n_known"], got[0]["train_tokens"]) == (0, 0)
