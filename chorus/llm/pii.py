@@ -107,9 +107,11 @@ def _word_hashes(words: Iterable[str]) -> np.ndarray:
 
 
 def _flags(column) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each text may hold a base span, and whether it may hold a disguised one:
-    a rare character; a spelled digit beside another or a number; a mark for @ with one
-    for a full stop; or a mark for a full stop and a digit."""
+    """Whether each text may hold a base span, and whether it may hold a disguised one, which
+    takes in all that the patterns match: a rare character; a spelled digit beside another,
+    a number, a plus or a word for a full stop; a mark for @ with one for a full stop; a mark for a
+    full stop and a digit; or a stop between letters with a word for @, or an @ that is not
+    between letters.  Names with letters above ASCII count in any case."""
     data, offsets = tokens.string_bytes(column)
     n = len(offsets) - 1
 
@@ -126,18 +128,31 @@ def _flags(column) -> tuple[np.ndarray, np.ndarray]:
     def holding(mask: np.ndarray) -> np.ndarray:
         return np.bincount(of[mask], minlength=n) > 0
 
-    name = np.isin(h, _word_hashes(_DIGITS))
-    number = name | _IS_DIGIT[data[start]]
+    name = np.isin(h, _word_hashes({*_DIGITS, *map(str.upper, _DIGITS)}))
+    dot = np.isin(h, _word_hashes(_DOT_WORDS))
+    number = name | dot | np.isin(h, _word_hashes(["plus"])) | _IS_DIGIT[data[start]]
     beside = np.zeros(len(h), bool)
     beside[1:] = (name[1:] & number[:-1] | number[1:] & name[:-1]) & (of[1:] == of[:-1])
     stop = np.flatnonzero(data[1:-1] == 46) + 1
     before, after = data[stop - 1], data[stop + 1]
-    joins = texts_with(stop[~tokens.NOT_ALNUM[tokens.LOWER[before]] & ~tokens.NOT_ALNUM[tokens.LOWER[after]]])
-    boxed = texts_with(stop[np.isin(before, list(b"[({<|"))])
-    dotted = boxed | holding(np.isin(h, _word_hashes(_DOT_WORDS)))
-    marked = at_sign | holding(np.isin(h, _word_hashes(_AT_WORDS)))
-    spaced = texts_with(np.flatnonzero((data[1:] == 64) & np.isin(data[:-1], list(b" \t[({<|"))) + 1) | holding(np.isin(h, _word_hashes(_AT_WORDS)))
-    return digit | at_sign, texts_with(np.flatnonzero(_IS_RARE[data])) | holding(beside) | marked & dotted | spaced & joins | dotted & digit
+    label = ~tokens.NOT_ALNUM[tokens.LOWER]
+    label[list(b"_%+-")] = True
+    joins = texts_with(stop[label[before] & label[after]])
+    near = data != 32
+    near &= data != 9
+    solid = np.flatnonzero(near)  # what stands next to a stop across blanks
+    at = np.searchsorted(solid, stop)
+    box = list(b"[({<|")
+    boxed = texts_with(stop[np.isin(data[solid[np.maximum(at - 1, 0)]], box)]) if len(stop) else np.zeros(n, bool)
+    dotted = boxed | holding(dot)
+    at_word = holding(np.isin(h, _word_hashes({*_AT_WORDS, *map(str.upper, _AT_WORDS)})))
+    marked = at_sign | at_word
+    sign = np.flatnonzero(data == 64)
+    loose = list(b" \t[({<|])}>")
+    spaced = texts_with(sign[np.isin(data[np.maximum(sign - 1, 0)], loose) | np.isin(data[np.minimum(sign + 1, max(0, len(data) - 1))], loose)]) | at_word
+    # the signs × and ÷ part words, and ſ matches s in any case
+    rare = np.r_[np.flatnonzero(_IS_RARE[data]), np.flatnonzero((data[:-1] == 0xC3) & np.isin(data[1:], [0x97, 0xB7]) | (data[:-1] == 0xC5) & (data[1:] == 0xBF))]
+    return digit | at_sign, texts_with(rare) | holding(beside) | marked & dotted | spaced & joins | dotted & digit
 
 
 def _luhn(digits: str) -> bool:
