@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, ngram_jaccard, pii, quality, sql, stages, toxicity
+from chorus.llm import collocations, decontaminate, exact_dedup, kneser_ney, language_id, line_dedup, ngram_jaccard, packing, pii, quality, ranked_search, sql, stages, toxicity
 from chorus.llm.common import fold, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,18 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.toxicity_scores(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), learns=fold(5) != 0)
     return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op11_ranked_search", sql.RANKED_SEARCH)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_documents(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op13_collocations", sql.COLLOCATIONS)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
