@@ -85,6 +85,7 @@ def _f(name: str, dtype: T.DataType, nullable: bool = True) -> T.StructField:
 
 
 S, L, TS, B, D = T.StringType(), T.LongType(), T.TimestampType(), T.BooleanType(), T.DoubleType()
+DATE = T.DateType()
 
 MESSAGES = T.StructType([
     _f("id", L, False),
@@ -188,3 +189,30 @@ NOTIFICATIONS = T.StructType([
     _f("embed_json", S),
     _f("files", T.ArrayType(S)),
 ])
+
+# Stored shapes: what the tables keep beside the reference's columns.
+
+# A message's folder is the UTC date of its time, which never changes.
+STORED_MESSAGES = T.StructType([*MESSAGES.fields, _f("dt", DATE, False)])
+# An alert keeps its message's date, and its resolution.
+STORED_ALERTS = T.StructType([*ALERTS.fields, _f("message_dt", DATE), *ALERT_RESOLUTION.fields])
+# What is to be delivered outside, and what became of it.
+OUTBOX = T.StructType([
+    _f("delivery_key", S, False),
+    _f("kind", S, False),          # 'alert' | 'external' | 'critical' | 'feature' | 'ticket' | 'issue' | 'resolution'
+    _f("source_id", S, False),     # the id, within the kind, of what it is about
+    _f("seq", T.IntegerType(), False),
+    _f("target_channel", S),
+    _f("recipient", S),
+    _f("content", S),
+    _f("payload_json", S),
+    _f("files", T.ArrayType(S)),
+    _f("created_at", TS),
+])
+OUTBOX_ATTEMPTS = T.StructType([
+    _f("delivery_key", S, False),
+    _f("attempt", T.IntegerType(), False),
+    _f("status", S, False),        # 'sent' | 'failed'
+    _f("error", S),
+    _f("attempted_at", TS, False),
+])
