@@ -6,8 +6,8 @@ A payload ("embed") is a struct column; its ``fields`` are an array of
 appends to the ``notifications`` table (partitioned by target channel);
 delivering them to a chat service is outside Spark.
 
-The channel dimension (a guild's channels) is joined without a broadcast
-hint: Spark broadcasts it when its size is below the threshold.
+The channel dimension (a guild's channels) is asked for the two channels that
+alerts go to, once each.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorus.functions.columns import js_or, map_lookup, upper_words
+from chorus.functions.columns import iso_text, js_or, map_lookup, upper_words
 from chorus.schemas import (
     ALERT_CHANNEL_NAME,
     ALERT_FOOTER,
@@ -77,6 +77,7 @@ def alert_embed_columns(df: DataFrame) -> DataFrame:
             F.lit("["), a["name"], F.lit("]("), a["url"], F.lit(")"))), "\n")).alias("media_value"),
         F.when(has_att, F.transform(att, lambda a: a["url"])).otherwise(F.array().cast("array<string>"))
         .alias("files"),
+        (F.col("timestamp") if "timestamp" in df.columns else F.current_timestamp()).alias("embed_time"),
     )
 
 
@@ -94,10 +95,15 @@ def alert_embed(df: DataFrame) -> Column:
     return F.struct(
         F.col("color"), F.col("title"),
         F.filter(fields, lambda x: x.isNotNull()).alias("fields"),
-        F.col("footer"), F.col("image_url").alias("image"),
+        F.col("footer"), iso_text(F.col("embed_time")).alias("timestamp"), F.col("image_url").alias("image"),
     )
 
 
+def has_text_channel(channels: DataFrame, name: str) -> Column:
+    """Whether a text channel has this name, letter case aside."""
+    return channels.filter((F.col("type") == "text") & (F.lower("name") == F.lower(F.lit(name)))).exists()
+
+
 def route_alerts(df: DataFrame, channels: DataFrame | None = None) -> DataFrame:
     """Q14: notification rows for alerts.
 
@@ -112,13 +118,10 @@ def route_alerts(df: DataFrame, channels: DataFrame | None = None) -> DataFrame:
     e = alert_embed_columns(df.withColumn("target_channel", target))
     e = e.withColumn("embed", alert_embed(e))
     if channels is not None:
-        # A guild's channel list is small, but nothing here proves it: no
-        # hint, so Spark broadcasts it only below its size threshold (exact
-        # for local data, file size for a table, measured size under AQE)
-        # and shuffles both sides beyond it.
-        text_channels = (channels.filter(F.col("type") == "text")
-                         .select(F.lower("name").alias("_chan_key")).distinct())
-        e = e.join(text_channels, F.lower(F.col("target_channel")) == F.col("_chan_key"), "left_semi")
+        # Two targets, so two existence tests, whatever the size of either table: scalar
+        # subqueries that Spark evaluates once, instead of a join of all alerts.
+        e = e.filter(F.when(F.col("category") == "feature_request", has_text_channel(channels, FEATURE_CHANNEL_NAME))
+                     .otherwise(has_text_channel(channels, ALERT_CHANNEL_NAME)))
     confirm = F.when(F.col("category") == "bug", F.lit(BUG_CONFIRMATION)) \
         .when(F.col("category") == "feature_request", F.lit(FEATURE_CONFIRMATION))
     # Only (seq, text) goes through the explode; the embed and the files
@@ -207,11 +210,15 @@ def feature_notices(df: DataFrame, recipient: str) -> DataFrame:
         .withColumn("notice", F.concat(F.lit(FEATURE_NOTICE_PREFIX), F.col("summary")))
 
 
+def resolution_notice(note: Column) -> Column:
+    return F.concat(F.lit(RESOLVED_NOTICE_PREFIX), note)
+
+
 def resolution_notices(resolved: DataFrame) -> DataFrame:
     """Q25: one notice per resolved message to its author."""
     return resolved.select(
         "message_id", F.col("author_id").alias("recipient"),
-        F.concat(F.lit(RESOLVED_NOTICE_PREFIX), F.col("resolution_note")).alias("notice"))
+        resolution_notice(F.col("resolution_note")).alias("notice"))
 
 
 def issue_payloads(df: DataFrame) -> DataFrame:

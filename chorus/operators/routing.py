@@ -83,7 +83,12 @@ def support_ticket_rows(alerts: DataFrame, messages: DataFrame) -> DataFrame:
     original message."""
     a = alerts.filter(F.col("category").isin("bug", "complaint")) \
         .select(F.col("id").alias("alert_id"), *alert_keys(alerts), "summary", "category", "severity")
-    return join_messages(a, messages, ["content", "author_name", "message_url"]).select(
+    return ticket_columns(join_messages(a, messages, ["content", "author_name", "message_url"]))
+
+
+def ticket_columns(alerts: DataFrame) -> DataFrame:
+    """Tickets of those alerts, already with their messages, that are bugs or complaints."""
+    return alerts.filter(F.col("category").isin("bug", "complaint")).select(
         "alert_id",
         F.col("summary").alias("title"),
         F.col("content").alias("description"),
@@ -140,3 +145,13 @@ def resolve_alerts(alerts: DataFrame, resolutions: DataFrame) -> DataFrame:
          F.when(hit, F.col("_at")).otherwise(F.col(c)).alias(c) if c == "resolved_at" else
          F.col(c))
         for c in cols])
+
+
+def resolve_stored(alerts: DataFrame, latest: DataFrame) -> DataFrame:
+    """Stored alerts (with resolution columns) after :func:`latest_resolutions`; a stored
+    resolution that is later than the new one stays."""
+    new = latest.select("message_id", F.col("resolution_note").alias("_note"), F.col("resolved_at").alias("_at"))
+    j = alerts.join(new, "message_id", "left")
+    hit = F.col("_at").isNotNull() & (F.col("resolved_at").isNull() | (F.col("resolved_at") <= F.col("_at")))
+    changed = {"resolved": F.lit(True), "resolution_note": F.col("_note"), "resolved_at": F.col("_at")}
+    return j.select(*[F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in alerts.columns])

@@ -8,23 +8,26 @@ subject/title does not carry the own-entry prefix, ``id`` ascending) and
 Streaming form: :func:`start_monitor` runs one Structured Streaming query
 per table over the table's parquet folder, with a 30-second trigger. The
 high-water mark of the reference lives in process memory and loses rows
-that arrive while the process is down; here the file source's checkpoint
-remembers what was read, and the start mark (backlog skipped on the first
-start only) is stored next to the checkpoint.
+that arrive while the process is down, or with an id below the mark. Here
+what counts is what was seen: the files that exist at the first start are
+written down and skipped, the file source's checkpoint remembers those read
+since, and a row is notified once, whatever its id and however often other
+tools write it again, because its delivery key is unique in the outbox.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chorus.operators.outbox import external_deliveries
 from chorus.operators.payload import route_external
-from chorus.operators.sinks import is_missing
+from chorus.operators.sinks import is_missing, read_if_exists
 from chorus.schemas import BUG_REPORTS, FEATURE_SUGGESTIONS, OWN_ENTRY_PREFIX, POLL_INTERVAL
+from chorus.sources.feedback import feedback_ledger
+from chorus.streaming.ingest import writer_of
 
 TITLE_COLUMN = {"bug": "subject", "feature": "title"}
 SCHEMA = {"bug": BUG_REPORTS, "feature": FEATURE_SUGGESTIONS}
@@ -53,42 +56,46 @@ def external_notifications(table: DataFrame, kind: str, mark=0) -> DataFrame:
     return route_external(new_external_entries(table, kind, mark), kind)
 
 
-def _stored_mark(spark: SparkSession, table_path: str, mark_path: str, skip_existing: bool) -> int:
-    """Read the start mark saved at the first start, or compute and save it.
-    Written with Spark so it lives on the same shared file system as the
-    checkpoint."""
-    try:
-        return int(spark.read.schema("mark long").json(mark_path).first()["mark"])
-    except AnalysisException as error:  # first start: no mark stored yet
-        if not is_missing(error):
-            raise
-    mark = 0
+SEEN = "path string"
+
+
+def files_at_start(spark: SparkSession, table_path: str, seen_path: str, skip_existing: bool) -> DataFrame:
+    """The files to skip: those that existed at the first start, written down then (none
+    with ``skip_existing=False``). Spark writes and reads the list, so it lives on the
+    checkpoint's file system and its length does not matter."""
+    seen = read_if_exists(spark, seen_path, SEEN)
+    if seen is not None:
+        return seen
+    found = spark.createDataFrame([], SEEN)
     if skip_existing:
         try:
-            mark = int(spark.read.parquet(table_path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+            found = spark.read.parquet(table_path).select(F.col("_metadata.file_path").alias("path")).distinct()
         except AnalysisException as error:  # table not created yet
             if not is_missing(error):
                 raise
-    spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").json(mark_path)
-    return mark
+    found.write.mode("overwrite").parquet(seen_path)
+    return spark.read.schema(SEEN).parquet(seen_path)
 
 
-def start_monitor(spark: SparkSession, table_path: str, kind: str, sink_path: str, checkpoint: str,
+def start_monitor(spark: SparkSession, table_path: str, kind: str, root: str, checkpoint: str,
                   trigger: str | None = POLL_INTERVAL, skip_existing: bool = True,
-                  available_now: bool = False) -> StreamingQuery:
-    """Start one monitor stream for ``kind`` ('bug' or 'feature').
-
-    Each micro-batch is written to ``sink_path/source_table=<kind>/epoch=<id>``
-    with overwrite, so a batch replayed after a failure replaces its own
-    output instead of duplicating it.
-    """
-    mark = _stored_mark(spark, table_path, os.path.join(checkpoint, "_start_mark"), skip_existing)
-    stream = spark.readStream.schema(SCHEMA[kind]).parquet(table_path)
+                  available_now: bool = False, as_of=None) -> StreamingQuery:
+    """Start one monitor stream for ``kind`` ('bug' or 'feature') over the folder
+    ``table_path``; deliveries go to the outbox of the feedback ledger at ``root``."""
+    checkpoint = checkpoint.rstrip("/")
+    seen = files_at_start(spark, table_path, f"{checkpoint}/_seen", skip_existing)
+    writer_id, ledger = writer_of(spark, checkpoint, f"monitor-{kind}"), feedback_ledger(spark, root)
+    stream = spark.readStream.schema(SCHEMA[kind]).parquet(table_path).select("*", F.col("_metadata.file_path").alias("path"))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = route_external(batch.filter((F.col("id") > F.lit(mark))
-                                          & not_own_entry(F.col(TITLE_COLUMN[kind]))), kind)
-        out.write.mode("overwrite").parquet(os.path.join(sink_path, f"source_table={kind}", f"epoch={epoch_id}"))
+        fresh = batch.filter(not_own_entry(F.col(TITLE_COLUMN[kind]))).join(seen, "path", "left_anti").drop("path")
+
+        def body(tx) -> dict[str, int]:
+            tx.append("outbox", external_deliveries(fresh, kind, as_of))
+            return {"outbox": tx.rows.get("outbox", 0)}
+
+        ledger.transact(body, writer_id, epoch_id)
+        ledger.maintain()
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
