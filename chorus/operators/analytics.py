@@ -57,6 +57,23 @@ def recent_alerts(alerts: DataFrame, messages: DataFrame, hours: float = 24, as_
             .orderBy(F.col("timestamp").desc(), F.col("id").desc()))
 
 
+def newest_alerts(alerts: DataFrame, messages: DataFrame, limit: int, hours: float = 24, as_of=None) -> DataFrame:
+    """The first ``limit`` rows of :func:`recent_alerts`, found by keys and times: summaries
+    and messages are read for those rows only.
+
+    The chosen rows are at most ``limit``, so they are broadcast to the two lookups."""
+    a = recent(alerts, as_of, hours=hours)
+    keys = alert_keys(alerts)
+    found = join_messages(a.select("id", "timestamp", *keys), messages, []).orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit)
+    chosen = F.broadcast(found.select("id", *keys))
+    rows = a.join(chosen.select("id"), "id", "left_semi")
+    links = {DATE_LINK: "dt"} if DATE_LINK in keys and "dt" in messages.columns else {}
+    m = messages.join(chosen.select("message_id", *[F.col(k).alias(c) for k, c in links.items()]).distinct(), ["message_id", *links.values()], "left_semi")
+    return (join_messages(rows, m, ["author_name", "content", "message_url"])
+            .select(*_alert_cols(alerts), "author_name", "content", "message_url")
+            .orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit))
+
+
 def daily_report(alerts: DataFrame, messages: DataFrame, as_of=None,
                  boundary: str = "instant") -> DataFrame:
     """Q2: per UTC date and category over the last day: alert count and the

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.functions.columns import js_or, upper_words
-from chorus.operators.analytics import daily_report, recent_alerts, search_alerts
+from chorus.operators.analytics import daily_report, newest_alerts, search_alerts
 from chorus.schemas import DEFAULT_COLOR, DEFAULT_HOURS, SEVERITY_COLORS
 
 RECENT_VIEW_LIMIT = 10
@@ -24,7 +24,7 @@ def recent_alerts_view(alerts: DataFrame, messages: DataFrame, hours: int | None
     """Q18: the first 10 recent alerts as embed rows. ``hours`` 0 / None
     means 24; the message preview always ends with '...'."""
     h = hours or DEFAULT_HOURS
-    top = recent_alerts(alerts, messages, hours=h, as_of=as_of).limit(RECENT_VIEW_LIMIT)
+    top = newest_alerts(alerts, messages, RECENT_VIEW_LIMIT, hours=h, as_of=as_of)
     return top.select(
         F.col("id").alias("alert_id"),
         upper_words(F.col("category")).alias("title"),

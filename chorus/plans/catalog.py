@@ -115,7 +115,7 @@ def q03_hot_topics_30d(spark, sf_dir):
 
 @register("q04_channel_stats", """
 SELECT m.channel_name, count(*) AS message_count, count(DISTINCT m.author_id) AS unique_authors,
-       count(CASE WHEN a.id IS NOT NULL THEN 1 END) AS alert_count
+       count(a.id) AS alert_count
 FROM msgs m LEFT JOIN alerts_t a ON m.message_id = a.message_id
 GROUP BY m.channel_name
 """)
@@ -188,29 +188,22 @@ def q06_weekly_report(spark, sf_dir):
     return an.weekly_report_rows(a, m, as_of=AS_OF)
 
 
-@register("q07_trending_prefixes", f"""
-, word_freq AS (
-  SELECT lower(substr(content, 1, 20)) AS keyword, substr(content, 1, 20) AS prefix, count(*) AS frequency
-  FROM msgs WHERE timestamp > {T_AS_OF} - INTERVAL 24 HOUR
-  GROUP BY substr(content, 1, 20)
-)
-SELECT keyword, frequency FROM word_freq WHERE frequency > 2
-ORDER BY frequency DESC, keyword, prefix LIMIT 10
-""")
+def _prefix_sql(hours: int) -> str:
+    return f"""
+SELECT lower(left(content, 20)) AS keyword, count(*) AS frequency
+FROM msgs WHERE timestamp > {T_AS_OF} - INTERVAL {hours} HOUR
+GROUP BY left(content, 20) HAVING count(*) >= 3
+ORDER BY frequency DESC, keyword, left(content, 20) LIMIT 10
+"""
+
+
+@register("q07_trending_prefixes", _prefix_sql(24))
 def q07_trending_prefixes(spark, sf_dir):
     m = _messages(spark, sf_dir)
     return an.trending_prefixes(m, hours=24, as_of=AS_OF)
 
 
-@register("q07_trending_prefixes_30d", f"""
-, word_freq AS (
-  SELECT lower(substr(content, 1, 20)) AS keyword, substr(content, 1, 20) AS prefix, count(*) AS frequency
-  FROM msgs WHERE timestamp > {T_AS_OF} - INTERVAL 720 HOUR
-  GROUP BY substr(content, 1, 20)
-)
-SELECT keyword, frequency FROM word_freq WHERE frequency > 2
-ORDER BY frequency DESC, keyword, prefix LIMIT 10
-""")
+@register("q07_trending_prefixes_30d", _prefix_sql(720))
 def q07_trending_prefixes_30d(spark, sf_dir):
     m = _messages(spark, sf_dir)
     return an.trending_prefixes(m, hours=720, as_of=AS_OF)
@@ -411,8 +404,8 @@ SELECT id, summary, score FROM s WHERE score >= 0.3
 def q08_duplicate_bugs(spark, sf_dir):
     a, m = _tables(spark, sf_dir)
     cand = du.bug_candidates(a, m, days=30, as_of=AS_OF)
-    new = cand.agg(F.min_by("summary", "id")).first()[0] or ""  # the oldest candidate stands for a new report
-    return du.duplicate_bugs(cand, new, 0.3).select("id", "summary", "score")
+    # the oldest candidate stands for a new report
+    return du.duplicate_bugs(cand, du.oldest_summary(cand), 0.3).select("id", "summary", "score")
 
 
 @register("q14_route_alerts", f"""
