@@ -16,8 +16,8 @@ So every task cuts and numbers its pieces by itself, class by class.
    longest first into the fullest bin with room.  Last bins of one class only that
    are full enough come out of that unchanged.
 
-Texts are split at ASCII white space and each distinct word is encoded once per
-task: the tokenizer drops white space, and no step of it reaches across it.
+Each distinct part of a word is encoded once per task: the tokenizer drops white
+space, and no step of it reaches across it or across the cuts that it makes.
 
 Null texts count as empty: a document is at least its closing id.  Every row is
 a document of its own: rows that share a doc_id are packed each, null ids too.
@@ -26,7 +26,7 @@ Other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chorus.llm import tokens
 from chorus.llm.common import slice_rows, stored, texts
 
 CAPACITY = 4096
 #: Share of a bin that i pieces of a length may leave empty, before it is cut.
 SLACK = 1 / 64
-#: Distinct words that a task remembers, and the bytes of the longest of them.
-MEMORY, LONGEST = 400_000, 64
+#: Distinct parts of words that a task remembers, and the characters of the longest of them.
+MEMORY, LONGEST = 600_000, 64
 
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, task int, class int, place long"
 
@@ -61,70 +62,119 @@ def cuts(length: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[in
 
 
 #: A word of its own whose id no other word's ids hold: it parts words that are encoded together.
-PART = b"\x00"
-#: Words of Latin-1 characters without white space: lower case and normal form change them one by one.
-LATIN = re.compile("[\x01-\x84\x86-\x9f\xa1-\xff]*")
-#: The tokenizer's cut of such a word in lower case; every part stands alone too.
-LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+PART = "\x00"
+_WHITE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+
+
+def _latin_classes() -> np.ndarray:
+    """Class of the Latin-1 code points; 256 stands for all others.  Odd are those that normal
+    form, lower case or white space of the tokenizer treat in ways of their own."""
+    out = np.full(257, _OTHER, np.uint8)
+    for i in range(256):
+        c = chr(i)
+        out[i] = _LETTER if c.isalpha() else _DIGIT if unicodedata.category(c)[0] == "N" else _OTHER
+    out[[9, 10, 11, 12, 13, 32]] = _WHITE
+    out[[0, 0x85, 0xA0, 256]] = _ODD
+    return out
+
+
+_CLASSES = _latin_classes()
+_LOWER = np.array([*(ord(chr(i).lower()) for i in range(256)), 256], np.uint32)
+
+
+def _word_parts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, odd) of the tokenizer's cuts of words: runs of letters, single digits, runs
+    of others, and short endings behind an apostrophe; a word with an odd character is one."""
+    kind = _CLASSES[np.minimum(code, 256)]
+    n, inside = len(code), kind != _WHITE
+    before = np.r_[np.uint8(_WHITE), kind[:-1]]
+    begins = inside & (before == _WHITE)
+    word = np.cumsum(begins) - 1
+    odd = np.zeros(int(begins.sum()), bool)
+    odd[word[kind == _ODD]] = True
+    out = inside & ((kind != before) | (kind == _DIGIT))
+    at = np.flatnonzero((code == 39) & out)
+    c1, c2 = (np.where(at + k < n, code[np.minimum(at + k, n - 1)], 0) for k in (1, 2))
+    c1, c2 = (_LOWER[np.minimum(c, 256)].astype(np.int64) for c in (c1, c2))
+    short = np.isin(c1, [ord(c) for c in "stmd"])
+    long = np.isin(c1 << 32 | c2, [ord(c) << 32 | ord(d) for c, d in ("re", "ve", "ll")])
+    for hit, size in ((at[short], 2), (at[long], 3)):
+        for k in range(1, size):
+            out[hit + k] = False
+        rest = hit[hit + size < n] + size
+        out[rest] |= inside[rest]
+    if odd.any():
+        out = np.where(inside & odd[np.maximum(word, 0)], begins, out)
+    start = np.flatnonzero(out)
+    # a part ends where the next begins, or before that at white space
+    gaps = np.flatnonzero(~inside)
+    stop = np.r_[gaps, n][np.searchsorted(gaps, start)]
+    return start, np.minimum(np.r_[start[1:], n], stop), odd[word[start]] if len(start) else np.empty(0, bool)
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers; new words are encoded together, once each.
+    """Ids of texts; what the tokenizer cuts words into is encoded once each, new ones together.
 
-    Distinct words share many parts before punctuation, so Latin-1 words are cut here
-    and their parts encoded once; other words are left to the tokenizer whole."""
+    Latin-1 words are cut here, as the tokenizer does; words with other characters are left
+    to it whole.  Parts and words are told apart by 64-bit hashes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[int, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _ids(self, word: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, into: dict, words: list, ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
-        """Word k has the ids up to ends[k]; gap ids lie between two words."""
-        for w, a, z in zip(words, [0, *(ends[:-1] + gap).tolist()], ends.tolist(), strict=bool(words)):
-            into[w] = ids[a:z].tobytes()
-
-    def _learn_latin(self, words: list[bytes]) -> None:
-        cut = [LATIN_PARTS.findall(w.decode().lower()) for w in words]
-        fresh = list(set().union(*cut).difference(self.parts))
-        ids = self._ids(" ".join(fresh).encode())
-        self._learn(self.parts, fresh, ids, np.flatnonzero(self.closes[ids]) + 1, 0)
-        for w, parts in zip(words, cut, strict=True):
-            self.known[w] = b"".join(map(self.parts.__getitem__, parts))
-        for part in fresh:
-            if len(part) > LONGEST:
-                del self.parts[part]
-
-    def _learn_others(self, words: list[bytes]) -> None:
-        ids = self._ids((b" " + PART + b" ").join([*words, b""]))
-        self._learn(self.known, words, ids, np.flatnonzero(ids == self._ids(PART)[0]), 1)
-
-    def encoded(self, texts: Iterable[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        for memory in (self.known, self.parts):
-            if len(memory) > MEMORY:
-                memory.clear()
-        fresh = list(set().union(*split).difference(self.known))
-        latin = {w for w in fresh if PART not in w and LATIN.fullmatch(w.decode())}
-        self._learn_latin(list(latin))
-        self._learn_others([w for w in fresh if w not in latin and PART not in w])
-        for w in fresh:
-            if PART in w:
-                self.known[w] = self._ids(w).tobytes()
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for w in fresh:
-            if len(w) > LONGEST:
-                del self.known[w]
-        return out
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, names: list[int], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Name k has the ids up to ends[k]; gap ids lie between two."""
+        raw, at = ids.tobytes(), 0
+        for name, end in zip(names, (4 * ends).tolist(), strict=True):
+            self.known[name] = raw[at:end]
+            at = end + 4 * gap
+
+    def _learn_parts(self, parts: dict[int, str]) -> None:
+        ids = self._ids(" ".join(parts.values()))
+        self._learn(list(parts), ids, np.flatnonzero(self.closes[ids]) + 1, 0)
+
+    def _learn_words(self, words: dict[int, str]) -> None:
+        plain = {k: w for k, w in words.items() if PART not in w}
+        ids = self._ids(f" {PART} ".join([*plain.values(), ""]))
+        self._learn(list(plain), ids, np.flatnonzero(ids == self._ids(PART)[0]), 1)
+        self.known.update((k, self._ids(w).tobytes()) for k, w in words.items() if PART in w)
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the ids of text i are ids[first[i]:first[i + 1]]."""
+        whole = "\n".join([*texts, ""])
+        code = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        start, end, odd = _word_parts(code)
+        # odd words by their characters, parts by their lower case
+        low = _LOWER[np.minimum(code, 256)]
+        h = tokens.run_hashes(low, start, end)
+        h[odd] = tokens.mix(tokens.run_hashes(code, start[odd], end[odd]))
+        keys, one, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        keys, fresh = keys.tolist(), ({}, {})
+        for k, a, z, o in zip(keys, start[one].tolist(), end[one].tolist(), odd[one].tolist(), strict=True):
+            if k not in self.known:
+                fresh[o][k] = whole[a:z]
+        self._learn_parts(fresh[0])
+        self._learn_words(fresh[1])
+        found = list(map(self.known.__getitem__, keys))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")[tokens.ragged((np.cumsum(size) - size)[back], size[back])]
+        for words in fresh:
+            for k, w in words.items():
+                if len(w) > LONGEST:
+                    del self.known[k]
+        text = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return ids, np.r_[0, np.cumsum(size[back])][np.searchsorted(start, text)]
 
 
 def _cut(path: str, closing: int, capacity: int, slack: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -134,10 +184,11 @@ def _cut(path: str, closing: int, capacity: int, slack: float) -> Callable[[Iter
         task, encoder, end = TaskContext.get().partitionId(), Encoder(path), np.array([closing], "<u4").tobytes()
         numbered: dict[int, int] = {}
         planned: dict[int, list[int]] = {}
-        for b in (part for whole in batches for part in slice_rows(whole)):
+        for b in (part for whole in batches for part in slice_rows(whole, 8 << 20)):
             out: list[list] = [[] for _ in range(7)]
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encoded(b.column("text").to_pylist()), strict=True):
-                ids += end
+            all_ids, first = encoder.encoded(b.column("text").to_pylist())
+            for doc, begin, close in zip(b.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                ids = all_ids[begin:close].tobytes() + end
                 total, start = len(ids) // 4, 0
                 # whole sequences and a rest that depends on its length only: few distinct plans
                 rest = total % capacity

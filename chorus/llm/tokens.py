@@ -129,6 +129,24 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE,
     return np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offsets)
 
 
+def run_hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs start[i]:end[i] of an array of code points; the runs ascend.
+
+    The same running sum as in words(), over pieces that end where a run ends."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        low = int(start[at])
+        last = max(at + 1, int(np.searchsorted(end, low + PIECE, "right")))
+        high = int(end[last - 1])
+        power, inverse = _tables(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(mix(code[low:high].astype(np.uint64) + np.uint64(_P & 0xFFFFFFFF)) * power[: high - low], out=total[1:])
+        s, e = start[at:last] - low, end[at:last] - low
+        out[at:last] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        at = last
+    return out
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word runs that start at each word (the last n - 1 words start none)."""
     out = hashes[: max(0, len(hashes) - n + 1)].copy()
@@ -157,3 +175,9 @@ def slices(column, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
 def lengths_to_index(counts: np.ndarray) -> np.ndarray:
     """0 counts[0] times, 1 counts[1] times, and so on."""
     return np.repeat(np.arange(len(counts)), counts)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1], and so on."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
