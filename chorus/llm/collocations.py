@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chorus.llm import tokens
-from chorus.llm.common import _planes, _values, get_array, new_folder, pack, put_array, small_batches, stored, unpack
+from chorus.llm.common import _planes, _values, get_array, new_folder, pack, put_array, rows_of, small_batches, stored, unpack
 
 SHARDS = 4
 LONGEST = 3
@@ -45,7 +45,8 @@ LONGEST = 3
 BLOCK, BITS = 1 << 20, 20
 #: Words of the corpus for each range of hashes, and the most ranges.
 PER_RANGE, MOST_RANGES = 2_000_000, 4096
-FLUSH = 4_000_000
+#: Counted phrases that a task holds before it hands them on.
+FLUSH = 1_000_000
 INACTIVE = 255
 #: Parts of a group whose rows are ranked first.
 SALTS = 32
@@ -58,11 +59,6 @@ _STEP = np.uint64(0x9FB21C651E98DF25)
 _BLOCKS = "block long, shard int, own int, size int, n_words int, hashes binary, places binary, breaks binary, words binary, word_langs binary, langs array<string>, lang_counts array<long>"
 
 
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def _lang_hash(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode())
 
@@ -92,7 +88,7 @@ def _blocks(shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
                     keys, one, places = np.unique(h[here], return_index=True, return_inverse=True)
                     one = one + at
                     size = close[one] - begin[one]
-                    text = tokens.LOWER[data[_ragged(begin[one], size)]]
+                    text = tokens.LOWER[data[tokens.ragged(begin[one], size)]]
                     used, n = np.unique(lang[at : at + own], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -162,14 +158,14 @@ def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """(keys, counts, place of an occurrence, active since): equal keys added up."""
-    key, count, place, since = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """Equal keys as one: keys sorted, counts added up, of all further columns the least."""
+    key, count, *others = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(key, kind="stable")
-    key, count, place, since = key[order], count[order], place[order], since[order]
+    key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     if not len(first):
-        return [key, count, place, since]
-    return [key[first], np.add.reduceat(count, first), np.minimum.reduceat(place, first), np.minimum.reduceat(since, first)]
+        return [key, count, *others]
+    return [key[first], np.add.reduceat(count[order], first), *(np.minimum.reduceat(x[order], first) for x in others)]
 
 
 class State(dict):
@@ -187,7 +183,7 @@ def _scan(folder: str, state: State, ranges: int, step: int, shards: int) -> Cal
         found: dict[int, list[list[np.ndarray]]] = {n: [] for n in range(1, LONGEST + 1)}
 
         def keep(length: int, key: np.ndarray, count: np.ndarray, place: np.ndarray) -> None:
-            found[length].append([key, count, (place + (block.number << BITS)).astype(np.int64), np.full(len(key), INACTIVE, np.int64)])
+            found[length].append([key, count, (place + (block.number << BITS)).astype(np.int64)])
 
         def counted(since: np.ndarray) -> np.ndarray:
             return (since <= step) & (step < since.astype(np.int64) + shards)
@@ -195,13 +191,13 @@ def _scan(folder: str, state: State, ranges: int, step: int, shards: int) -> Cal
         def flush() -> Iterator[pa.RecordBatch]:
             for length, parts in found.items():
                 if parts:
-                    key, count, place, _ = _merged(parts)
+                    key, count, place = _merged(parts)
                     cut = _cut(key, ranges)
                     used = np.flatnonzero(np.diff(cut))
                     yield pa.RecordBatch.from_arrays([pa.array([length] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array([pack(*(x[cut[r] : cut[r + 1]] for x in (key, count, place))) for r in used], pa.binary())], names=["length", "range", "entries"])
                 parts.clear()
 
-        for row in (row for b in batches for row in b.to_pylist()):
+        for row in rows_of(batches):
             block = Block(row)
             own, n = block.own, len(block.hashes)
             if step < shards:
@@ -273,7 +269,7 @@ def _candidates(folder: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     """(length, count, block, place) of the active phrases of ranges' files."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (row for b in batches for row in b.to_pylist()):
+        for row in rows_of(batches):
             _, count, place, since = unpack(get_array(folder, row["file"], np.uint8).tobytes())
             on = since < INACTIVE
             yield pa.RecordBatch.from_arrays([pa.array([row["length"]] * int(on.sum()), pa.int32()), pa.array(count[on]), pa.array(place[on] >> BITS), pa.array((place[on] & (BLOCK - 1)).astype(np.int32))], names=["length", "count", "block", "place"])
@@ -308,7 +304,7 @@ def _read_phrases(folder: str, places: dict[int, list[str]], parts: int, state:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = (state.active(folder, n, ranges) for n in (1, 2))
-        for row in (row for b in batches for row in b.to_pylist()):
+        for row in rows_of(batches):
             files = places.get(row["block"] % parts)
             if files is None:
                 continue

@@ -136,6 +136,13 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterable[dict]:
+    """Rows one at a time, for rows that hold packed arrays: no copy of a whole batch."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {name: b.column(k)[i].as_py() for k, name in enumerate(b.schema.names)}
+
+
 def slice_rows(b: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterable[pa.RecordBatch]:
     """Parts of a batch with about most_bytes of text each, one row at least."""
     from chorus.llm.tokens import slices

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.llm import tokens
-from chorus.llm.common import _planes, _values, get_array, new_folder, put_array, slice_rows, stored, texts
+from chorus.llm.common import _planes, _values, get_array, new_folder, put_array, rows_of, slice_rows, stored, texts
 
 SHARD_BYTES = 16 << 20
 #: Distinct terms of the queries that a task holds at a time.
@@ -209,7 +209,7 @@ def _write_terms(folder: str) -> Callable[[pa.Table], pa.Table]:
 
 def _frequencies(folder: str, files: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (row for b in batches for row in b.to_pylist()):
+        for row in rows_of(batches):
             shard = Shard(**row)
             size = np.diff(shard.first)
             for name in files:
@@ -245,7 +245,7 @@ def _search(folder: str, blocks: list[list[str]], k: int) -> Callable[[Iterable[
 
         task = TaskContext.get().partitionId()
         so_far: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for row in (row for b in batches for row in b.to_pylist()):
+        for row in rows_of(batches):
             shard = Shard(**row)
             for files in blocks:
                 query, begin, term, weight = (get_array(folder, name, np.int64) for name in files)
