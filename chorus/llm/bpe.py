@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
+from chorus.llm import tokens
 from chorus.llm.common import _planes, _values, texts
 
 BLOCK_CHARS = 8 << 20
@@ -84,30 +86,101 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list[int], list[int], list[int], dict[str, int]]]:
+#: The pattern that numpy cuts by (fixed value); any other one goes to the regex engine.
+BY_CLASS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point."""
+    out = np.full(0x110000, _OTHER, np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def cuts_by_class(code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Whether a pre-token of BY_CLASS begins at each code point of texts laid one after another.
+
+    begins: whether a text begins there.  A pre-token is a run of one class with the blank
+    before it; of white space before it, the last character goes to it (a blank) or stands
+    alone; an apostrophe that opens a pre-token takes a short ending with it."""
+    n, kind = len(code), _classes()[code]
+    ends = np.r_[begins[1:], True]
+    before, after = np.r_[np.uint8(_SPACE), kind[:-1]], np.r_[kind[1:], np.uint8(_SPACE)]
+    blank_before = np.r_[False, code[:-1] == 32] & ~begins
+    space = kind == _SPACE
+    out = begins | ((kind != before) & ~blank_before)
+    # of a run of white space, only its first and, before a word, its last character begin
+    out[space] = (begins | (before != _SPACE) | (~ends & (after != _SPACE)))[space]
+    at = np.flatnonzero(code == 39)
+    if len(at):
+        # the texts' ends keep an ending from reaching into the next text
+        one, two = at + 1 < n, at + 2 < n
+        c1 = np.where(one & ~ends[at], code[np.minimum(at + 1, n - 1)], 0)
+        c2 = np.where(two & ~ends[at] & ~ends[np.minimum(at + 1, n - 1)], code[np.minimum(at + 2, n - 1)], 0)
+        opens = out[at] | (~begins[at] & ((before[at] == _LETTER) | (before[at] == _NUMBER)))
+        short = opens & np.isin(c1, [ord(c) for c in "stmd"])
+        long = opens & np.isin(c1.astype(np.int64) << 32 | c2, [ord(c) << 32 | ord(d) for c, d in ("re", "ve", "ll")])
+        for hit, size in ((at[short], 2), (at[long], 3)):
+            out[hit] = True
+            for k in range(1, size):
+                out[hit + k] = False
+            rest = hit[hit + size < n] + size
+            out[rest] |= ~blank_before[rest]
+    return out
+
+
+def _numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(number of each pre-token, pre-tokens per text, distinct pre-tokens) under BY_CLASS.
+
+    Pre-tokens are told apart by 64-bit hashes of their code points."""
+    whole = "".join(texts)
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    first = np.cumsum([0, *map(len, texts)])
+    if not len(code):
+        return np.empty(0, np.uint32), np.zeros(len(texts), np.int64), []
+    begins = np.zeros(len(code), bool)
+    begins[first[:-1][first[:-1] < len(code)]] = True
+    start = np.flatnonzero(cuts_by_class(code, begins))
+    end = np.r_[start[1:], len(code)]
+    hashes = tokens.run_hashes(code, start, end)
+    _, one, number = np.unique(hashes, return_index=True, return_inverse=True)
+    distinct = [whole[a:z] for a, z in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+    return number.astype(np.uint32), np.diff(np.searchsorted(start, first)), distinct
+
+
+def _split(texts: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(number of each pre-token, pre-tokens per text, distinct pre-tokens)."""
+    if pattern == BY_CLASS:
+        return _numbered(texts)
+    found = [regex.findall(pattern, t) for t in texts]
+    words: dict[str, int] = {}
+    numbers = [words.setdefault(w, len(words)) for f in found for w in f]
+    return np.array(numbers, np.uint32), np.array([len(f) for f in found], np.int64), list(words)
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list[int], list[int], np.ndarray, list[str]]]:
     """(block id, doc_ids, pre-tokens per document, positions, distinct words)."""
-    find = regex.compile(pattern).findall
     ids: list[int] = []
-    sizes: list[int] = []
-    positions: list[np.ndarray] = []
-    words: dict[str, int] = {}
+    held: list[str] = []
     chars, name = 0, xxhash.xxh3_64()
 
     def block():
-        return name.intdigest() >> 1, ids, sizes, np.concatenate(positions) if positions else np.empty(0, np.uint32), words
+        positions, sizes, words = _split(held, pattern)
+        return name.intdigest() >> 1, ids, sizes.tolist(), positions, words
 
     for b in batches:
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             text = text.as_py()
             if ids and chars + len(text) > BLOCK_CHARS:
                 yield block()
-                ids, sizes, positions, words, chars, name = [], [], [], {}, 0, xxhash.xxh3_64()
-            found = find(text)
-            for w in set(found):
-                words.setdefault(w, len(words))
-            positions.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+                ids, held, chars, name = [], [], 0, xxhash.xxh3_64()
+            held.append(text)
             ids.append(doc_id)
-            sizes.append(len(found))
             chars += len(text)
             name.update(f"{doc_id} ".encode())
             name.update(text.encode())
@@ -115,10 +188,14 @@ def _blocks(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
         yield block()
 
 
-def _in_order(words: dict[str, int], shards: int) -> list[tuple[int, int, bytes]]:
-    """(place in the block, shard, bytes) of its words in the order of asking: by shard, then bytes."""
-    encoded = ((place, w.encode()) for w, place in words.items())
-    return sorted(((place, xxhash.xxh3_64_intdigest(w) % shards, w) for place, w in encoded), key=lambda x: x[1:])
+def _in_order(words: list[str], shards: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """A block's words in the order of asking, by shard and then bytes: (place in the block,
+    shard, bytes)."""
+    encoded = [w.encode() for w in words]
+    shard = np.fromiter(map(xxhash.xxh3_64_intdigest, encoded), np.uint64, len(encoded)) % np.uint64(shards)
+    by_bytes = np.array(sorted(range(len(encoded)), key=encoded.__getitem__), np.int64)
+    place = by_bytes[np.argsort(shard[by_bytes], kind="stable")]
+    return place, shard[place].astype(np.int64), [encoded[i] for i in place.tolist()]
 
 
 def _asked(pattern: str, shards: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -127,11 +204,13 @@ def _asked(pattern: str, shards: int) -> Callable[[Iterable[pa.RecordBatch]], It
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for name, _, _, _, words in _blocks(batches, pattern):
-            by_shard: list[list[bytes]] = [[] for _ in range(shards)]
-            for _, shard, w in _in_order(words, shards):
-                by_shard[shard].append(w)
-            used = [s for s in range(shards) if by_shard[s]]
-            packed = [press.compress(np.array([len(by_shard[s]), *map(len, by_shard[s])], "<u4").tobytes() + b"".join(by_shard[s])) for s in used]
+            _, shard, encoded = _in_order(words, shards)
+            cut = np.searchsorted(shard, np.arange(shards + 1)).tolist()
+            used = [s for s in range(shards) if cut[s] < cut[s + 1]]
+            packed = []
+            for s in used:
+                mine = encoded[cut[s] : cut[s + 1]]
+                packed.append(press.compress(np.array([len(mine), *map(len, mine)], "<u4").tobytes() + b"".join(mine)))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([name] * len(used), pa.int64()), pa.array(packed, pa.binary())], names=["shard", "block", "words"])
 
     return run
@@ -176,18 +255,12 @@ def _positions(pattern: str, shards: int) -> Callable[[Iterable[pa.RecordBatch]]
             number = np.empty(len(words), np.uint64)
             number[by_use] = np.arange(len(words))
             rank = np.empty(len(words), np.uint64)
-            rank[[place for place, _, _ in _in_order(words, shards)]] = np.arange(len(words))
+            rank[_in_order(words, shards)[0]] = np.arange(len(words))
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_planes(rank[by_use]) if len(words) else b""], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([_planes(number[positions])], pa.binary())], names=["block", "docs", "sizes", "order", "n_words", "places"])
 
     return run
 
 
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1], and so on."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's documents with their ids."""
     docs: list[int] = []
@@ -207,7 +280,7 @@ def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
             raise ValueError("a block's words and positions come from different readings of its texts")
         total = sum(n_docs)
         places = _values(row["order"], n).astype(np.int64)[_values(row["places"], total).astype(np.int64)] if n else np.empty(0, np.int64)
-        all_ids = flat[_ragged(start[places], size[places])]
+        all_ids = flat[tokens.ragged(start[places], size[places])]
         ends = np.r_[0, np.cumsum(size[places])][np.r_[0, np.cumsum(n_docs)].astype(np.int64)]
         docs += row["docs"]
         ids_out += [all_ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -238,7 +311,7 @@ def _bytes_of(path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
             out = []
             for ids in b.column("ids"):
                 i = np.frombuffer(ids.as_py(), "<u4").astype(np.int64)
-                out.append(table[_ragged(start[i], size[i])].tobytes())
+                out.append(table[tokens.ragged(start[i], size[i])].tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
     return run

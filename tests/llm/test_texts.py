@@ -6,6 +6,7 @@ from hashlib import sha256
 
 import public_tokenizers
 import pytest
+import numpy as np
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -78,3 +79,27 @@ def test_proximity(spark, documents):
     item = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     found = decontaminate.proximity_matches(decontaminate.build_index(docs), item, 3, 5).collect()
     assert sorted(r["doc_id"] for r in found) == [0, 1]
+
+
+def test_cuts_by_class_are_the_pattern_s(monkeypatch):
+    import regex
+
+    from chorus.llm import tokens
+
+    monkeypatch.setattr(tokens, "PIECE", 64)
+    assert bpe.BY_CLASS == public_tokenizers.PATTERN
+    rng = random.Random(4)
+    pools = ["ab1' \n\t.,é漢 ", "'strevmld x1 ", "' \n's", " \u00a0\x1c\x85ab", "aÀ٣½²'ǅ\u0301🙂 "]
+    odd = ["", " ", "  ", " a", "a ", "a  b", "a \n b", "a\nb c", "it 's 'll", "x  y", "don't  stop", "'s", "'", "x'", "'re'r", "''s", "1's", "\n's \n 's", "we'll've'dx", "'S"]
+    texts = [*odd, *("".join(rng.choices(pool, k=rng.randint(0, 30))) for pool in pools for _ in range(1500)), "a" * 300, "'s" * 200]
+    find = regex.compile(bpe.BY_CLASS).findall
+    for part in ([t] for t in odd):
+        number, size, words = bpe._split(part, bpe.BY_CLASS)
+        assert [words[i] for i in number] == find(part[0]) and size.tolist() == [len(number)]
+    for at in range(0, len(texts), 700):  # texts one after another do not reach into each other
+        part = texts[at : at + 700]
+        number, size, words = bpe._split(part, bpe.BY_CLASS)
+        cut = np.r_[0, np.cumsum(size)]
+        assert [[words[i] for i in number[a:z]] for a, z in zip(cut[:-1], cut[1:], strict=True)] == [find(t) for t in part]
+        assert len(set(words)) == len(words)
+    assert bpe._split(["a b", "", "b"], r"\w")[0].tolist() == [0, 1, 1]
