@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -112,6 +113,27 @@ def test_scores_of_order_3(documents, monkeypatch, small_shards):
     assert [r["score"] for r in got] == pytest.approx([want[r["doc_id"]] for r in got], rel=1e-9)
 
 
+def test_a_worker_keeps_few_files_open(documents, monkeypatch):
+    """Many shards, and as many words as ranges: reading all of them opens a bounded number of files."""
+    monkeypatch.setattr(kneser_ney, "PER_SHARD", 5)
+    rng = random.Random(6)
+    docs = documents([" ".join(f"w{rng.randrange(400)}" for _ in range(50)) for _ in range(60)])
+    model = kneser_ney.train(docs, 3)
+    before = len(os.listdir("/proc/self/fd"))
+    reader = kneser_ney.Reader(model)
+    assert len(reader.shards) > 300 and len(reader.triples) > 100
+    n = model.n
+    word = np.arange(n)
+    for previous in range(0, n, 7):
+        found = reader.pair(np.full(n, previous), word)
+        seen = found.place[found.place >= 0]
+        reader.last_word(np.sort(seen))
+        if len(seen):
+            reader.triple(np.repeat(np.sort(seen)[:50], 3), np.tile([0, n // 2, n - 1], len(seen[:50])))
+    reader.unigram(word)
+    assert len(os.listdir("/proc/self/fd")) - before <= 256
+
+
 def test_scores_without_training_texts(documents):
     got = kneser_ney.language_model_scores(documents(["a b"]), F.lit(False)).collect()
     assert (got[0]["n_known"], got[0]["train_tokens"]) == (0, 0)
