@@ -205,3 +205,32 @@ def test_families_in_large_buckets(documents, monkeypatch, seed):
 def test_five_words_and_eighty_percent(documents):
     rng = random.Random(11)
     check_components(documents, [t for _ in range(5) for t in family(rng, 12, 6)], 5, 80)
+
+
+def test_rows_that_share_an_id_are_compared_each(documents):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, "x y z w v"), (3, None)]
+    got = sorted(tuple(r) for r in ngram_jaccard.linked_components(documents(rows)).collect())
+    assert got == [(1, 37, 1), (1, 57, 1), (2, 38, 1), (3, 0, 3), (3, 2, 3)]
+
+
+def test_overlapping_clusters_need_few_rounds(documents, monkeypatch):
+    """Variants of one text that mostly do not link with each other: groups are small enough
+    to be compared after a few doublings, and the links are those of brute force."""
+    monkeypatch.setattr(ngram_jaccard, "SMALL", 3)
+    monkeypatch.setattr(ngram_jaccard, "FEW", 4)
+    rounds, refined = [], ngram_jaccard._refined
+    monkeypatch.setattr(ngram_jaccard, "_refined", lambda *a: rounds.append(a[2]) or refined(*a))
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > 0.06 else f"n{rng.randrange(9)}" for w in base) for _ in range(90)]
+    rows = list(enumerate(texts))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(57)} for t in texts]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                x, y = label[i], label[j]
+                label = [min(x, y) if k in (x, y) else k for k in label]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.linked_components(documents(rows)).collect()}
+    assert got == dict(enumerate(label)) and len(rounds) <= 6
