@@ -139,8 +139,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds), then joined once to the documents for the summary. A filter on
     the alerts (a look-back on ``timestamp``, a category) is pushed through
     the union into the event scan, so only the matching events reach the
-    join; and the summary only needs the first 80 characters of a
-    document, which are cut before the shuffle instead of after the join.
+    join; a summary is the whole message on one line.
     """
     events, documents, doc_key = _event_columns(spark, sf_dir)
     eid = F.col("event_id")
