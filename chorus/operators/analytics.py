@@ -21,15 +21,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.functions.columns import as_of_col, contains_ci, lookback
-from chorus.operators.joins import DATE_LINK, alert_keys, join_messages, message_dates_since
+from chorus.operators.joins import DATE_LINK, LinkedTexts, alert_keys, join_messages, message_dates_since
 
 ALERT_COLUMNS = ["id", "message_id", "category", "severity", "summary", "recommendation",
                  "timestamp", "created_at"]
 PARTITION_COLUMNS = ["dt", "epoch", DATE_LINK]
 
 
-def _alert_cols(alerts: DataFrame) -> list[str]:
-    return [c for c in ALERT_COLUMNS if c in alerts.columns] + \
+def _alert_cols(alerts: DataFrame, texts: LinkedTexts | None = None) -> list[str]:
+    have = [*alerts.columns, *(texts.of_alerts if texts else ())]
+    return [c for c in ALERT_COLUMNS if c in have] + \
         [c for c in alerts.columns if c not in ALERT_COLUMNS and c not in PARTITION_COLUMNS]
 
 
@@ -48,12 +49,12 @@ def recent(df: DataFrame, as_of=None, hours: float | None = None, days: int | No
 
 
 def recent_alerts(alerts: DataFrame, messages: DataFrame, hours: float = 24, as_of=None,
-                  boundary: str = "instant") -> DataFrame:
+                  boundary: str = "instant", texts: LinkedTexts | None = None) -> DataFrame:
     """Q1: alerts newer than ``as_of - hours`` with author, content and URL,
     newest first (ties: id desc). No limit."""
     a = recent(alerts, as_of, hours=hours, boundary=boundary)
-    return (join_messages(a, messages, ["author_name", "content", "message_url"])
-            .select(*_alert_cols(alerts), "author_name", "content", "message_url")
+    return (join_messages(a, messages, ["author_name", "content", "message_url"], texts=texts)
+            .select(*_alert_cols(alerts, texts), "author_name", "content", "message_url")
             .orderBy(F.col("timestamp").desc(), F.col("id").desc()))
 
 
@@ -124,7 +125,7 @@ def channel_stats(messages: DataFrame, alerts: DataFrame, distinct_messages: boo
 def search_alerts(alerts: DataFrame, messages: DataFrame, query: str | None = None,
                   category: str | None = None, severity: str | None = None,
                   channel: str | None = None, start_date=None, end_date=None,
-                  limit: int | None = 100) -> DataFrame:
+                  limit: int | None = 100, texts: LinkedTexts | None = None) -> DataFrame:
     """Q5: alerts joined to their message, filtered by the truthy arguments
     (``''``/None = no filter), newest first (ties id desc), top ``limit``.
 
@@ -151,12 +152,15 @@ def search_alerts(alerts: DataFrame, messages: DataFrame, query: str | None = No
         if stored:
             a = a.filter(F.col("dt") <= F.to_date(hi))
     m = messages
-    if channel:
-        m = m.filter(F.col("channel_name") == channel)
-    j = join_messages(a, m, ["author_name", "content", "channel_name"])
+    in_channel = F.col("channel_name") == channel
+    if channel and "channel_name" in m.columns:
+        m = m.filter(in_channel)
+    j = join_messages(a, m, ["author_name", "content", "channel_name"], texts=texts)
+    if channel and "channel_name" not in m.columns:
+        j = j.filter(in_channel)
     if query:
         j = j.filter(contains_ci(F.col("content"), query) | contains_ci(F.col("summary"), query))
-    out = (j.select(*_alert_cols(alerts), "author_name", "content", "channel_name")
+    out = (j.select(*_alert_cols(alerts, texts), "author_name", "content", "channel_name")
            .orderBy(F.col("timestamp").desc(), F.col("id").desc()))
     return out.limit(limit) if limit else out
 

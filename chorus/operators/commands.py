@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chorus.functions.columns import js_or, upper_words
 from chorus.operators.analytics import daily_report, newest_alerts, search_alerts
+from chorus.operators.joins import LinkedTexts
 from chorus.schemas import DEFAULT_COLOR, DEFAULT_HOURS, SEVERITY_COLORS
 
 RECENT_VIEW_LIMIT = 10
@@ -48,10 +49,11 @@ def recent_alerts_reply(alerts: DataFrame, messages: DataFrame, hours: int | Non
         F.lit(f"No alerts found in the last {h} hours.").alias("reply"))
 
 
-def search_view(alerts: DataFrame, messages: DataFrame, query: str, category: str | None = None) -> DataFrame:
+def search_view(alerts: DataFrame, messages: DataFrame, query: str, category: str | None = None,
+                texts: LinkedTexts | None = None) -> DataFrame:
     """Q19: result count (capped by the search's LIMIT 100) and the first 5
     results as numbered ``i. **category** - summary`` lines."""
-    res = search_alerts(alerts, messages, query, category=category)
+    res = search_alerts(alerts, messages, query, category=category, texts=texts)
     ranked = res.select("category", "summary", F.row_number().over(
         Window.orderBy(F.col("timestamp").desc(), F.col("id").desc())).alias("rn"))
     out = ranked.agg(
