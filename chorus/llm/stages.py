@@ -17,15 +17,19 @@ from chorus.llm.common import stored
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _keeping(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among kept_ids(id)."""
-    return docs.join(kept_ids.select(F.col("id").alias("_chorus_id")).distinct(), F.col("doc_id").cast("long") == F.col("_chorus_id"), "left_semi")
+def _keeping(docs: DataFrame, judged: DataFrame, kept: Column, name: str) -> DataFrame:
+    """Rows of docs whose doc_id one of judged's rows keeps; judged has every doc_id.
+
+    The ids that go are stored and joined: they are fewer than those that stay, so texts
+    are not dealt by id while Spark can send the ids instead."""
+    gone = judged.groupBy(F.col("doc_id").cast("long").alias("_chorus_id")).agg(F.max(F.coalesce(kept, F.lit(False))).alias("stays")).filter("not stays").select("_chorus_id")
+    return docs.filter(F.col("doc_id").isNotNull()).join(stored(gone, name), F.col("doc_id").cast("long") == F.col("_chorus_id"), "left_anti")
 
 
 def good_quality(docs: DataFrame, labels: DataFrame, learns: Column | None = None, reject_below: float = 0.7) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
     scored = quality.quality_scores(docs, labels, learns=learns)
-    return _keeping(docs, stored(scored.filter(F.col("score") >= reject_below).select(F.col("doc_id").alias("id")), "stage-quality"))
+    return _keeping(docs, scored, F.col("score") >= reject_below, "stage-quality")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -43,13 +47,13 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame, words: int = NEAR_WORDS, percent: int = NEAR_PERCENT) -> DataFrame:
     """Of documents linked by near-equal shingle sets, the one with the smallest id."""
     found = ngram_jaccard.linked_components(docs, words, percent)
-    return _keeping(docs, stored(found.filter("doc_id = component_id").select(F.col("doc_id").alias("id")), "stage-near"))
+    return _keeping(docs, found, F.col("doc_id") == F.col("component_id"), "stage-near")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
     found = decontaminate.contamination(docs, benchmark)
-    return _keeping(docs, stored(found.filter("not contaminated").select(F.col("doc_id").alias("id")), "stage-clean"))
+    return _keeping(docs, found, ~F.col("contaminated"), "stage-clean")
 
 
 def tokens_of(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

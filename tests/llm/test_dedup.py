@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chorus.llm import exact_dedup, line_dedup, ngram_jaccard, tokens
+from chorus.llm import exact_dedup, line_dedup, ngram_jaccard, stages, tokens
 from chorus.llm.common import pack, unpack
 
 ODD = ["", None, " ", "one", "One two", "\n\n", "a\x85b c d", "Ünï 😀 x y z", "w " * 5000, "same text", "same text", "same text"]
@@ -234,3 +234,36 @@ def test_overlapping_clusters_need_few_rounds(documents, monkeypatch):
                 label = [min(x, y) if k in (x, y) else k for k in label]
     got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.linked_components(documents(rows)).collect()}
     assert got == dict(enumerate(label)) and len(rounds) <= 6
+
+
+def sharing(n, seed=7, words=300, pool=400):
+    """Texts of sentences from one pool: many share some shingles, few link."""
+    rng = np.random.default_rng(seed)
+    sentences = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 12)) for _ in range(pool)]
+    return [" ".join(sentences[i] for i in rng.integers(0, pool, words // 12)) for _ in range(n)]
+
+
+def test_chance_agreements_are_not_compared(documents, monkeypatch):
+    """Pairs that agree in a piece by chance grow with the square of the documents: few of them may go on."""
+    met = []
+    compared = ngram_jaccard._Join.compared
+
+    def counted(self, pairs, name, rooted=False):
+        met.append(pairs.count())
+        return compared(self, pairs, name, rooted)
+
+    monkeypatch.setattr(ngram_jaccard._Join, "compared", counted)
+    texts = sharing(600)
+    texts += [t + " one more ending" for t in texts[:5]]
+    check_components(documents, texts, 5, 80)
+    assert sum(met) < len(texts)
+
+
+def test_stages_move_no_texts_for_few_dropped_ids(spark, documents):
+    """Rows that share a doc_id stay when one of them is kept; a row without doc_id goes."""
+    docs = documents([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")])
+    judged = spark.createDataFrame([(1, True), (1, False), (2, False), (3, True)], "doc_id long, ok boolean")
+    out = stages._keeping(docs, judged, F.col("ok"), "test-gone")
+    assert sorted(r["text"] for r in out.collect()) == ["a", "b", "d"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
