@@ -36,6 +36,9 @@ from chorus.llm import tokens
 from chorus.llm.common import _planes, _values, texts
 
 BLOCK_CHARS = 8 << 20
+#: A block is cut into pre-tokens, and its documents are put together, so many characters or
+#: pre-tokens at a time: what a worker touches once it keeps, and executors keep their workers.
+SLICE = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -134,23 +137,47 @@ def cuts_by_class(code: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spans(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of items of about SLICE in all, one item at least; item i spans ends[i]:ends[i + 1]."""
+    at, n = 0, len(ends) - 1
+    while at < n:
+        last = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+        yield at, last
+        at = last
+
+
 def _numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(number of each pre-token, pre-tokens per text, distinct pre-tokens) under BY_CLASS.
 
-    Pre-tokens are told apart by 64-bit hashes of their code points."""
-    whole = "".join(texts)
-    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
-    first = np.cumsum([0, *map(len, texts)])
-    if not len(code):
-        return np.empty(0, np.uint32), np.zeros(len(texts), np.int64), []
-    begins = np.zeros(len(code), bool)
-    begins[first[:-1][first[:-1] < len(code)]] = True
-    start = np.flatnonzero(cuts_by_class(code, begins))
-    end = np.r_[start[1:], len(code)]
-    hashes = tokens.run_hashes(code, start, end)
-    _, one, number = np.unique(hashes, return_index=True, return_inverse=True)
-    distinct = [whole[a:z] for a, z in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-    return number.astype(np.uint32), np.diff(np.searchsorted(start, first)), distinct
+    Pre-tokens are told apart by 64-bit hashes of their code points.  No pre-token depends on
+    another text, so some texts are cut at a time."""
+    numbers, sizes, words = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], []
+    # the sorted hashes of the words so far, and the words' numbers
+    known, known_as = np.empty(0, np.uint64), np.empty(0, np.uint32)
+    for a, z in _spans(np.cumsum([0, *map(len, texts)])):
+        whole = "".join(texts[a:z])
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        first = np.cumsum([0, *map(len, texts[a:z])])
+        if not len(code):
+            sizes.append(np.zeros(z - a, np.int64))
+            continue
+        begins = np.zeros(len(code), bool)
+        begins[first[:-1][first[:-1] < len(code)]] = True
+        start = np.flatnonzero(cuts_by_class(code, begins))
+        end = np.r_[start[1:], len(code)]
+        found, one, inverse = np.unique(tokens.run_hashes(code, start, end), return_index=True, return_inverse=True)
+        place = np.searchsorted(known, found)
+        new = np.ones(len(found), bool)
+        inside = place < len(known)
+        new[inside] = known[place[inside]] != found[inside]
+        number = np.empty(len(found), np.uint32)
+        number[~new] = known_as[place[~new]]
+        number[new] = np.arange(len(words), len(words) + int(new.sum()))
+        words += [whole[i:j] for i, j in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
+        known, known_as = np.insert(known, place[new], found[new]), np.insert(known_as, place[new], number[new])
+        numbers.append(number[inverse])
+        sizes.append(np.diff(np.searchsorted(start, first)))
+    return np.concatenate(numbers), np.concatenate(sizes), words
 
 
 def _split(texts: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -280,10 +307,13 @@ def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
             raise ValueError("a block's words and positions come from different readings of its texts")
         total = sum(n_docs)
         places = _values(row["order"], n).astype(np.int64)[_values(row["places"], total).astype(np.int64)] if n else np.empty(0, np.int64)
-        all_ids = flat[tokens.ragged(start[places], size[places])]
-        ends = np.r_[0, np.cumsum(size[places])][np.r_[0, np.cumsum(n_docs)].astype(np.int64)]
         docs += row["docs"]
-        ids_out += [all_ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        begin = np.r_[0, np.cumsum(n_docs)].astype(np.int64)
+        for a, z in _spans(begin):
+            some = places[begin[a] : begin[z]]
+            some_ids = flat[tokens.ragged(start[some], size[some])]
+            ends = np.r_[0, np.cumsum(size[some])][begin[a : z + 1] - begin[a]]
+            ids_out += [some_ids[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(ids_out, pa.binary())})
 
 

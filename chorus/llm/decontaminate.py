@@ -256,5 +256,6 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Every row of docs as (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    found = phrase_matches(build_index(docs), benchmark, size)
+    # stored between: a task that matches and digests at once holds two Python workers, and executors keep them
+    found = stored(phrase_matches(build_index(docs), benchmark, size), "index-hits")
     return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

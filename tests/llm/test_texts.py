@@ -2,15 +2,18 @@ import base64
 import random
 import re
 import struct
+import tracemalloc
 from hashlib import sha256
 
 import public_tokenizers
 import pytest
 import numpy as np
+import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from chorus.llm import bpe, decontaminate
+from chorus.llm import bpe, decontaminate, stages
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ODD = ["", None, " ", "don't  stop\n\n now ", "Ünï 😀 x\x00y", "a" * 700, "12345 678", "​ ", "the the the", "the the the"]
@@ -103,3 +106,43 @@ def test_cuts_by_class_are_the_pattern_s(monkeypatch):
         assert [[words[i] for i in number[a:z]] for a, z in zip(cut[:-1], cut[1:], strict=True)] == [find(t) for t in part]
         assert len(set(words)) == len(words)
     assert bpe._split(["a b", "", "b"], r"\w")[0].tolist() == [0, 1, 1]
+
+
+@pytest.mark.parametrize("slice_", [1, 7, 1 << 19])
+def test_blocks_in_slices_are_whole(monkeypatch, slice_):
+    monkeypatch.setattr(bpe, "SLICE", slice_)
+    texts = ["", "a b a", "it's  here", "", "", "B" * 30, " a\n\n b ", "\u00e9 \U0001f600 a", "it's", ""]
+    find = regex.compile(bpe.BY_CLASS).findall
+    number, size, words = bpe._split(texts, bpe.BY_CLASS)
+    assert len(set(words)) == len(words)
+    assert [words[n] for n in number] == [w for t in texts for w in find(t)] and size.tolist() == [len(find(t)) for t in texts]
+    tokenizer = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    # the steps of encode() in this process, where the slices are set
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    asked = pa.Table.from_batches(bpe._asked(public_tokenizers.PATTERN, 3)([rows]))
+    answered = pa.concat_tables([bpe._answered(PATH)(asked.slice(i, 1)) for i in range(asked.num_rows)])
+    got = bpe._assembled(pa.Table.from_batches(bpe._positions(public_tokenizers.PATTERN, 3)([rows])), answered)
+    assert got.column("doc_id").to_pylist() == list(range(len(texts)))
+    assert got.column("ids").to_pylist() == [struct.pack(f"<{len(x)}I", *x) for x in map(tokenizer.encode_ordinary, texts)]
+
+
+def test_a_block_is_cut_in_little_memory():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(bpe.BLOCK_CHARS // 2200)]
+    bpe._split(texts[:1], bpe.BY_CLASS)  # the tables that are made once
+    tracemalloc.start()
+    try:
+        bpe._split(texts, bpe.BY_CLASS)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * bpe.BLOCK_CHARS  # 19 times before
+
+
+def test_no_task_holds_two_python_workers(spark, documents):
+    docs = documents(["a b c d", "e f g"])
+    items = spark.createDataFrame([("x", "a b c")], "item_id string, text string")
+    for out in (stages.tokens_of(docs, PATH, public_tokenizers.PATTERN), decontaminate.contamination(docs, items, 2)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("InArrow") == 1, plan
