@@ -31,6 +31,7 @@ import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from chorus.llm import tokens
 from chorus.llm.common import _planes, _values, texts
@@ -317,14 +318,19 @@ def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(ids_out, pa.binary())})
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Every row of docs as (doc_id, ids): the ids as little-endian unsigned 32-bit integers."""
+def _meeting(docs: DataFrame, ranks_path: str, pattern: str) -> PandasCogroupedOps:
+    """The blocks' positions with the answers to their words, by block."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(docs)
     asked = rows.mapInArrow(_asked(pattern, shards), "shard int, block long, words binary")
     answered = asked.groupBy("shard").applyInArrow(_answered(ranks_path), "shard int, block long, n_words long, ids binary")
     placed = rows.mapInArrow(_positions(pattern, shards), "block long, docs array<long>, sizes array<long>, order binary, n_words long, places binary")
-    return placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_assembled, "doc_id long, ids binary")
+    return placed.groupBy("block").cogroup(answered.groupBy("block"))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Every row of docs as (doc_id, ids): the ids as little-endian unsigned 32-bit integers."""
+    return _meeting(docs, ranks_path, pattern).applyInArrow(_assembled, "doc_id long, ids binary")
 
 
 def _bytes_of(path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -350,3 +356,17 @@ def _bytes_of(path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids) with the column decoded: the bytes that the ids stand for."""
     return encoded.select("doc_id", "ids").mapInArrow(_bytes_of(ranks_path), "doc_id long, ids binary, decoded binary")
+
+
+def _assembled_and_decoded(path: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+        return pa.Table.from_batches(_bytes_of(path)(_assembled(left, right).to_batches()), schema)
+
+    return run
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """decode(encode()) by the same steps, but a block's ids are decoded by the Python worker that
+    put them together: one after the other, a task holds two workers, and executors keep them."""
+    return _meeting(docs, ranks_path, pattern).applyInArrow(_assembled_and_decoded(ranks_path), "doc_id long, ids binary, decoded binary")

@@ -58,6 +58,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def tokens_of(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    # stored between: a task that encodes and decodes at once holds two Python workers, and executors keep them
-    out = bpe.decode(stored(bpe.encode(docs, ranks_path, pattern), "stage-ids"), ranks_path)
+    out = bpe.encode_and_decode(docs, ranks_path, pattern)
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -140,9 +140,26 @@ def test_a_block_is_cut_in_little_memory():
     assert peak < 8 * bpe.BLOCK_CHARS  # 19 times before
 
 
+def python_steps_in_a_stage(plan):
+    most, above = 0, []  # above: (depth, Python steps of the stage so far)
+    for line in plan.splitlines():
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        while above and above[-1][0] >= depth:
+            above.pop()
+        steps = 0 if node.startswith("Exchange") else (above[-1][1] if above else 0) + ("InArrow" in node.split(" ")[0])
+        above.append((depth, steps))
+        most = max(most, steps)
+    return most
+
+
 def test_no_task_holds_two_python_workers(spark, documents):
-    docs = documents(["a b c d", "e f g"])
+    docs = documents([(i, t) for i, t in enumerate(ODD)] * 2)
     items = spark.createDataFrame([("x", "a b c")], "item_id string, text string")
-    for out in (stages.tokens_of(docs, PATH, public_tokenizers.PATTERN), decontaminate.contamination(docs, items, 2)):
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("InArrow") == 1, plan
+    tokens = stages.tokens_of(docs, PATH, public_tokenizers.PATTERN)
+    both = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH)
+    for out, steps in ((tokens, 1), (decontaminate.contamination(docs, items, 2), 1), (both, 2)):
+        assert python_steps_in_a_stage(out._jdf.queryExecution().executedPlan().toString()) == steps
+    want = sorted((r["doc_id"], len(r["ids"]) // 4, sha256(r["ids"]).hexdigest(), sha256(r["decoded"]).hexdigest()) for r in both.collect())
+    assert sorted(map(tuple, tokens.collect())) == want
+    assert stages.tokens_of(documents([]), PATH, public_tokenizers.PATTERN).count() == 0
