@@ -83,9 +83,9 @@ def statistics(column) -> np.ndarray:
         if b > a:
             _, c = np.unique(h[a:b], return_counts=True)
             distinct[i], top[i] = len(c) / (b - a), c.max() / (b - a)
-            pairs[i] = len(np.unique(tokens.shingles(h[a:b], 2))) / max(1, b - a - 1)
+            pairs[i] = len(tokens.distinct(tokens.shingles(h[a:b], 2))) / max(1, b - a - 1)
             new = np.flatnonzero(np.r_[True, line_of[a + 1 : b] != line_of[a : b - 1]])
-            lines[i] = len(np.unique(np.add.reduceat(h[a:b], new))) / len(new)
+            lines[i] = len(tokens.distinct(np.add.reduceat(h[a:b], new))) / len(new)
     out = [np.log1p(words), np.log1p(chars), mean, spread, *(_ratio(share[:, k], chars) for k in range(1, len(_SETS) + 1)), _ratio(share[:, 0], chars), _ratio(share[:, 1], share[:, 1] + share[:, 2]), distinct, top, _ratio(per_text(again), words), pairs, lines, np.log1p(_ratio(words, share[:, 9] + 1)), _ratio(per_text(capital), words), _ratio(per_text(symbol), words)]
     return np.stack(out, axis=1)
 
